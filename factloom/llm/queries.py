@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, mixing, sharding, url_filters
+from factloom.llm import exact_dedup, mixing, near_dedup, sharding, topk, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_topk": topk.op3_topk,
     "op4_sharding": sharding.op4_sharding,
+    "op5_minhash": near_dedup.op5_minhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_topk": topk.ORACLE_SQL,
+    "op5_minhash": near_dedup.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
