@@ -2,8 +2,9 @@
 
 Documents with the same shingle set are one node. A node's signature has BANDS x ROWS slots; nodes that agree in all slots
 of a band meet in a bucket. In a bucket each node is held against one leader, not against all: what links to it needs no
-more comparisons among itself. Buckets that then still hold several components get further leaders, four times as many
-each round, until every pair of different components that meets in a bucket has been compared. No cap ends this early.
+more comparisons among itself. Where a bucket then still holds several components, nodes of its largest one are held
+against the nodes outside that one, eight times as many each round, until every pair of nodes of different components that
+meets in a bucket has been compared. No cap ends this early.
 """
 
 from __future__ import annotations
@@ -213,9 +214,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
 
     schema = ids.drop("_text").schema.add("n_shingles", "long").add("_set", "binary").add("_bands", T.ArrayType(T.LongType()))
     signed = stored(ids.mapInArrow(_signed(words, least), schema), "signed")
-    classes = signed.filter("_set is not null and _id is not null").groupBy("_set").agg(F.min("_id").alias("least"), F.first("_bands").alias("_bands"))
+    classes = signed.filter("_set is not null and _id is not null").groupBy("_set").agg(F.min("_id").alias("least"), F.max("n_shingles").alias("n"), F.first("_bands").alias("_bands"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    members = classes.select("node", F.explode("_bands").alias("key"))
+    members = classes.select("node", "n", F.explode("_bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
     members = stored(members.join(buckets, "key"), "members")
     wanted = members.select("node").distinct().join(classes.select("node", "least", "_set"), "node")
@@ -225,26 +226,24 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
 
     seen = stored(members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("leader")).select(*_pair("node", "leader")).distinct(), "pairs")
     stars = components(_verified(seen, sets, percent))
-    members, leaders = members.select("key", "node"), 4
+    members, leaders = members.select("key", "node", "n"), 8
     while True:
-        named = members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left").select("key", "node", F.coalesce("star", "node").alias("star"))
-        mixed = named.groupBy("key").agg(F.min("star").alias("x"), F.max("star").alias("y")).filter("x < y").select("key")
-        members = stored(named.join(mixed, "key", "left_semi"), "unsettled")
+        named = members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left").select("key", "node", "n", F.coalesce("star", "node").alias("star"))
+        largest = named.groupBy("key", "star").count().groupBy("key").agg(F.max(F.struct("count", "star")).alias("m"), F.count("*").alias("stars"))
+        unsettled = named.join(largest.filter("stars > 1").select("key", F.col("m.star").alias("main")), "key")
+        members = stored(unsettled, "unsettled")
         if not members.take(1):
             break
-        first = members.groupBy("key", F.pmod(F.xxhash64("star"), F.lit(leaders)).alias("part")).agg(F.min("node").alias("node"))
-        first = stored(first.select("key", "node"), "leaders")
-        met = members.join(first.select("key", F.col("node").alias("leader")), "key").filter("node <> leader")
-        met = met.select(*_pair("node", "leader")).distinct().join(seen, ["a", "b"], "left_anti")
-        # two nodes of one component need no comparison
-        a, b = (stars.select(F.col("a").alias(x), F.col("b").alias(f"{x}_star")) for x in ("a", "b"))
-        met = met.join(a, "a", "left").join(b, "b", "left").filter("coalesce(a_star, a) <> coalesce(b_star, b)").select("a", "b")
-        met = stored(met, "pairs")
+        first = members.filter("star = main").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(F.min("node").alias("leader"))
+        first = stored(first.select("key", "leader").join(classes.select(F.col("node").alias("leader"), F.col("n").alias("size")), "leader"), "leaders")
+        like = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
+        met = members.filter("star <> main").join(first, "key").filter(like).select(*_pair("node", "leader")).distinct()
+        met = stored(met.join(seen, ["a", "b"], "left_anti"), "pairs")
         if met.take(1):
             stars = components(stars.union(_verified(met, sets, percent)))
             seen = seen.union(met)
-        members = members.select("key", "node").join(first, ["key", "node"], "left_anti")
-        leaders *= 4
+        members = members.select("key", "node", "n").join(first.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
+        leaders *= 8
     starred = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), "b").distinct())
     smallest = starred.join(classes.select(F.col("node").alias("a"), "least"), "a").groupBy("b").agg(F.min("least").alias("component_id"))
     of = classes.select("node", "_set", "least").join(starred.join(smallest, "b").select(F.col("a").alias("node"), "component_id"), "node", "left").select(F.col("_set").alias("_of"), F.coalesce("component_id", "least").alias("component_id"))
