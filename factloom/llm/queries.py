@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, mixing, near_dedup, sharding, topk, url_filters
+from factloom.llm import exact_dedup, mixing, near_dedup, sentencepiece_wfst, sharding, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_sentencepiece": sentencepiece_wfst.op2_sentencepiece,
     "op3_topk": topk.op3_topk,
     "op4_sharding": sharding.op4_sharding,
     "op5_minhash": near_dedup.op5_minhash,
