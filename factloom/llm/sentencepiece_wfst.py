@@ -12,6 +12,7 @@ composed as inputs ask for them, and kept.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from factloom.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose encoding a worker keeps, and the longest that it keeps.
-KEPT, KEPT_CHARS = 200_000, 40
+KEPT, KEPT_CHARS = 400_000, 40
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -62,6 +63,9 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == _BYTE}
         self.worst = min(model.scores, default=0.0) - 10.0
         self.unknown = model.kinds.index(_UNKNOWN)
+        #: What each piece decodes to, and the pieces that do so wherever they stand: all but bytes over 127.
+        self.shown = ["" if k == _CONTROL else " \u2047 " if k == _UNKNOWN else chr(int(p[3:5], 16)) if k == _BYTE else p for p, k in zip(model.pieces, model.kinds, strict=True)]
+        self.plain = frozenset(i for i, k in enumerate(model.kinds) if k != _BYTE or int(model.pieces[i][3:5], 16) < 128)
         self.trie: dict = {}
         for p, i in self.ids.items():
             node = self.trie
@@ -72,8 +76,13 @@ class Transducer:
         self.follows: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
-        #: No piece holds a space after another character: then no path crosses there, and segments are composed alone.
+        chars = {c for p in self.ids for c in p}
+        if not model.unigram and any(c not in self.ids for c in chars):
+            raise ValueError("every character of a byte-pair model's pieces must be a piece")
+        #: No piece holds a space after another character, or a line end: no path crosses there, and segments are composed alone.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids) and not model.unigram
+        end = "" if "\n" in chars else "\n"
+        self.segments = re.compile(f"{SPACE}*[^{SPACE}{end}]+|{SPACE}+" + (f"|{end}" if end else ""))
 
     def normalise(self, text: str) -> str:
         if self.model.squeeze:
@@ -86,7 +95,7 @@ class Transducer:
         text, out, kept = self.normalise(text), [], self.kept
         if not self.cuts:
             return list(self._path(text)) if text else out
-        for segment in self._segments(text):
+        for segment in self.segments.findall(text):
             ids = kept.get(segment)
             if ids is None:
                 ids = self._path(segment)
@@ -97,67 +106,72 @@ class Transducer:
             out += ids
         return out
 
-    def _segments(self, text: str) -> Iterator[str]:
-        """Each run of spaces with the characters up to the next one."""
-        parts = text.split(SPACE)
-        spaces = 0
-        if parts[0]:
-            yield parts[0]
-        for part in parts[1:]:
-            spaces += 1
-            if part:
-                yield SPACE * spaces + part
-                spaces = 0
-        if spaces:
-            yield SPACE * spaces
-
     def _fallback(self, char: str) -> tuple[int, ...]:
         if self.bytes:
             return tuple(self.bytes[b] for b in char.encode("utf-8", "surrogatepass"))
         return (self.unknown,)
 
+    def _matches(self, text: str, i: int) -> list[tuple[int, int]]:
+        """The arcs that leave position i, the longest last: piece (-1: byte fallback) and position after it."""
+        out, node, j, n = [], self.trie, i, len(text)
+        while j < n and (node := node.get(text[j])) is not None:
+            j += 1
+            if (piece := node.get("")) is not None:
+                out.append((piece, j))
+        return out or [(-1, i + 1)]
+
     def _path(self, text: str) -> tuple[int, ...]:
         """The shortest path through the composition of text, pieces and sequences."""
-        if text in self.ids and not self.model.unigram and self._is_whole(self.ids[text]):
-            return (self.ids[text],)
+        return self._least(text) if self.model.unigram else self._finite(text)
+
+    def _finite(self, text: str) -> tuple[int, ...]:
+        """The one path of finite weight, long arcs first; a position from which none leads on is not entered again."""
+        follows, size, n = self.follows, len(self.model.pieces), len(text)
+        i, before, dead, way = 0, -1, set(), []
+        arcs = self._matches(text, 0)
+        while i < n:
+            while arcs:
+                piece, j = arcs.pop()
+                if j in dead:
+                    continue
+                if piece < 0:
+                    ok = True
+                elif before < 0:
+                    ok = self._is_whole(piece)
+                elif (ok := follows.get(before * size + piece)) is None:
+                    ok = self._may_follow(before, piece)
+                if ok:
+                    way.append((i, before, arcs, piece))
+                    i, before = j, piece
+                    if i < n:
+                        arcs = self._matches(text, i)
+                    break
+            else:
+                dead.add(i)
+                i, before, arcs, _ = way.pop()
+        ids = [w[3] for w in way]
+        if -1 not in ids:
+            return tuple(ids)
+        return tuple(x for w in way for x in ((w[3],) if w[3] >= 0 else self._fallback(text[w[0]])))
+
+    def _least(self, text: str) -> tuple[int, ...]:
+        """Least sum of negated scores, by position; of equally good paths the one found first."""
         n = len(text)
-        cost, back = [math.inf] * (n + 1), [-1] * (n + 1)
-        # the piece on the one finite path to a position; -1: none before, or a character of no piece, after which any may come
-        last = [-1] * (n + 1)
+        cost, back, last = [math.inf] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
         cost[0] = 0.0
-        unigram, trie, size, follows = self.model.unigram, self.trie, len(self.model.pieces), self.follows
         scores, kinds = self.model.scores, self.model.kinds
-        worst = self.worst
         for i in range(n):
-            here = cost[i]
-            if here == math.inf:
-                continue
-            node, j, before, single = trie, i, last[i], False
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                piece = node.get("")
-                if piece is None:
+            here, single = cost[i], False
+            for piece, j in self._matches(text, i):
+                if piece < 0:
                     continue
-                if j == i + 1:
-                    single = True
-                if unigram:
-                    # a user's piece goes before all others
-                    weight = here - (scores[piece] if kinds[piece] == _NORMAL else 0.1 * (j - i))
-                elif before < 0:
-                    if not self._is_whole(piece):
-                        continue
-                    weight = here
-                else:
-                    ok = follows.get(before * size + piece)
-                    if ok is None:
-                        ok = self._may_follow(before, piece)
-                    if not ok:
-                        continue
-                    weight = here
+                single |= j == i + 1
+                # a user's piece goes before all others
+                weight = here - (scores[piece] if kinds[piece] == _NORMAL else 0.1 * (j - i))
                 if weight < cost[j]:
                     cost[j], back[j], last[j] = weight, i, piece
-            if not single and here - worst < cost[i + 1]:
-                cost[i + 1], back[i + 1], last[i + 1] = (here - worst if unigram else here), i, -1
+            if not single and here - self.worst < cost[i + 1]:
+                cost[i + 1], back[i + 1], last[i + 1] = here - self.worst, i, -1
         out, j = [], n
         while j:
             i = back[j]
@@ -172,6 +186,8 @@ class Transducer:
 
     def _may_follow(self, a: int, b: int) -> bool:
         left, right = self.model.pieces[a], self.model.pieces[b]
+        if len(self.follows) >= 2_000_000:
+            self.follows.clear()
         ok = self.follows[a * len(self.model.pieces) + b] = self._is_whole(b) and self._merge(left + right) == [left, right]
         return ok
 
@@ -191,6 +207,8 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         """The inverse transduction: pieces to characters, byte pieces to bytes (what is no UTF-8 to U+FFFD), U+2581 to spaces."""
         model, out, raw = self.model, [], bytearray()
+        if self.plain.issuperset(ids):
+            return self._unprefixed("".join(map(self.shown.__getitem__, ids)))
         for i in ids:
             if model.kinds[i] == _BYTE:
                 raw.append(int(model.pieces[i][3:5], 16))
@@ -204,7 +222,10 @@ class Transducer:
                 out.append(model.pieces[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        return self._unprefixed("".join(out))
+
+    def _unprefixed(self, text: str) -> str:
+        text = text.replace(SPACE, " ")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
