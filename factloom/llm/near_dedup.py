@@ -3,8 +3,8 @@
 Documents with the same shingle set are one node. A node's signature has BANDS x ROWS slots; nodes that agree in all slots
 of a band meet in a bucket. In a bucket each node is held against one leader, not against all: what links to it needs no
 more comparisons among itself. Where a bucket then still holds several components, nodes of its largest one are held
-against the nodes outside that one, eight times as many each round, until every pair of nodes of different components that
-meets in a bucket has been compared. No cap ends this early.
+against the nodes outside that one (of any, where the largest is small), eight times as many each round, until every pair of
+nodes of different components that meets in a bucket has been compared. No cap ends this early.
 """
 
 from __future__ import annotations
@@ -229,15 +229,17 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
     members, leaders = members.select("key", "node", "n"), 8
     while True:
         named = members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left").select("key", "node", "n", F.coalesce("star", "node").alias("star"))
-        largest = named.groupBy("key", "star").count().groupBy("key").agg(F.max(F.struct("count", "star")).alias("m"), F.count("*").alias("stars"))
-        unsettled = named.join(largest.filter("stars > 1").select("key", F.col("m.star").alias("main")), "key")
+        largest = named.groupBy("key", "star").count().groupBy("key").agg(F.max(F.struct("count", "star")).alias("m"), F.count("*").alias("stars"), F.sum("count").alias("nodes"))
+        unsettled = named.join(largest.filter("stars > 1").select("key", "nodes", F.col("m.star").alias("main"), F.col("m.count").alias("mains")), "key")
         members = stored(unsettled, "unsettled")
         if not members.take(1):
             break
-        first = members.filter("star = main").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("part")).agg(F.min("node").alias("leader"))
-        first = stored(first.select("key", "leader").join(classes.select(F.col("node").alias("leader"), F.col("n").alias("size")), "leader"), "leaders")
+        part = F.when(F.col("nodes") <= leaders, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(leaders)))
+        first = members.filter((F.col("star") == F.col("main")) | (F.col("mains") < leaders)).groupBy("key", part.alias("part")).agg(F.min("node").alias("node"))
+        first = first.select("key", "node").join(members, ["key", "node"]).select("key", F.col("node").alias("leader"), F.col("star").alias("leads"), F.col("n").alias("size"))
+        first = stored(first, "leaders")
         like = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
-        met = members.filter("star <> main").join(first, "key").filter(like).select(*_pair("node", "leader")).distinct()
+        met = members.join(first, "key").filter("star <> leads").filter(like).select(*_pair("node", "leader")).distinct()
         met = stored(met.join(seen, ["a", "b"], "left_anti"), "pairs")
         if met.take(1):
             stars = components(stars.union(_verified(met, sets, percent)))
