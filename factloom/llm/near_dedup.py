@@ -226,11 +226,13 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
 
     seen = stored(members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("leader")).select(*_pair("node", "leader")).distinct(), "pairs")
     stars = components(_verified(seen, sets, percent))
-    members, leaders = members.select("key", "node", "n"), 8
+    members, leaders, first = members.select("key", "node", "n"), 8, None
     while True:
         named = members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left").select("key", "node", "n", F.coalesce("star", "node").alias("star"))
         largest = named.groupBy("key", "star").count().groupBy("key").agg(F.max(F.struct("count", "star")).alias("m"), F.count("*").alias("stars"), F.sum("count").alias("nodes"))
         unsettled = named.join(largest.filter("stars > 1").select("key", "nodes", F.col("m.star").alias("main"), F.col("m.count").alias("mains")), "key")
+        if first is not None:  # those have been held against all in their bucket
+            unsettled = unsettled.join(first.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
         members = stored(unsettled, "unsettled")
         if not members.take(1):
             break
@@ -238,13 +240,17 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
         first = members.filter((F.col("star") == F.col("main")) | (F.col("mains") < leaders)).groupBy("key", part.alias("part")).agg(F.min("node").alias("node"))
         first = first.select("key", "node").join(members, ["key", "node"]).select("key", F.col("node").alias("leader"), F.col("star").alias("leads"), F.col("n").alias("size"))
         first = stored(first, "leaders")
+        # a pair that meets in several buckets (of BANDS at most) is made in one of them
+        led = first.join(first.groupBy("leader").agg(F.collect_list("key").alias("led_keys")), "leader")
+        held = members.join(members.groupBy("node").agg(F.collect_list("key").alias("keys")), "node")
         like = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
-        met = members.join(first, "key").filter("star <> leads").filter(like).select(*_pair("node", "leader")).distinct()
+        once = F.col("key") == F.array_min(F.array_intersect("keys", "led_keys"))
+        met = held.join(led, "key").filter("star <> leads").filter(like & once).select(*_pair("node", "leader")).distinct()
         met = stored(met.join(seen, ["a", "b"], "left_anti"), "pairs")
         if met.take(1):
             stars = components(stars.union(_verified(met, sets, percent)))
             seen = seen.union(met)
-        members = members.select("key", "node", "n").join(first.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
+        members = members.select("key", "node", "n")
         leaders *= 8
     starred = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), "b").distinct())
     smallest = starred.join(classes.select(F.col("node").alias("a"), "least"), "a").groupBy("b").agg(F.min("least").alias("component_id"))
