@@ -145,12 +145,12 @@ class _Reader:
             i = self.t.angle_end(i)
         return i > 0 and tokens[i][0] == "id"
 
-    def type_(self) -> str | None:
+    def type_(self, arrow: bool = True) -> str | None:
         t, begin = self.t, self.t.offset
-        self.skip_type()
+        self.skip_type(arrow)
         return self.text[begin : t.behind()].strip() if t.behind() > begin else None
 
-    def skip_type(self) -> None:
+    def skip_type(self, arrow: bool = True) -> None:
         t = self.t
         while t.word == "@" or t.word == "suspend":
             self.annotation() if t.word == "@" else t.take()
@@ -171,7 +171,7 @@ class _Reader:
         if t.word == "." and t.ahead() == "(":
             t.take()
             t.skip_balanced()
-        if t.accept("->"):
+        if arrow and t.accept("->"):
             self.skip_type()
         if t.accept("&"):
             self.skip_type()
@@ -531,7 +531,7 @@ class _Reader:
                 if t.kind == "id":
                     param = Node("param", t.offset, _plain(t.take()), type=None, keyword=None)
                     if t.accept(":"):
-                        param.slots["type"] = self.type_()
+                        param.slots["type"] = self.type_(arrow=False)
                     node.slots["params"].append(param)
                     node.add(self.close(param))
                 else:
