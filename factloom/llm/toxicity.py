@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm.common import fresh, stored, table, text_blocks
 
@@ -22,6 +22,8 @@ TRAIN_ROWS = 10_000
 #: Features kept: those of the highest |r| * sqrt(documents) that occur in so many documents at least.
 FEATURES, LEAST_DOCS = 2000, 8
 SMOOTH, RIDGE, STEPS = 1.0, 3.0, 200
+#: Bytes of text whose n-grams are held at once.
+BLOCK = 1 << 18
 _PRIME = np.uint32(0x01000193)
 
 
@@ -64,7 +66,7 @@ def _grams(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 def features(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, end row, and pairs (text from the first, bucket), each once; only buckets wanted (a table of bools) if given."""
-    for first, end, offsets, data in text_blocks(column, 1 << 20):
+    for first, end, offsets, data in text_blocks(column, BLOCK):
         found = []
         for bucket, text in _grams(offsets, data):
             keep = text >= 0 if wanted is None else wanted[bucket] & (text >= 0)
@@ -160,29 +162,27 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", doc_id: s
 
 
 def _scorer(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, wanted = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
         weights[model.buckets], wanted[model.buckets] = model.weights, True
-        for batch in batches:
-            z = np.full(len(batch), model.bias)
-            for first, end, text, bucket in features(batch.column("_text"), wanted):
+        for column in batches:
+            z = np.full(len(column), model.bias)
+            for first, end, text, bucket in features(column, wanted):
                 z[first:end] += np.bincount(text, weights[bucket], end - first)
-            score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            keep = [i for i, x in enumerate(batch.schema.names) if x != "_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*[batch.schema.names[i] for i in keep], "score", "predicted"])
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
-    return run
+    return F.arrow_udf(run, "double")
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs, the text only if keep_text, with score (0 to 1) and predicted (1 if score >= 0.5); columns so named are replaced.
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 if score >= 0.5); columns so named are replaced.
 
-    Only the text counts, the whole of it; a null text is scored as an empty one. Repeated rows score alike.
+    Only the text counts, the whole of it; a null text is scored as an empty one. Repeated rows score alike. Texts go to
+    Python and only scores come back.
     """
-    rest = [c for c in docs.columns if (keep_text or c != text) and c.lower() not in {"score", "predicted"}]
-    seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_text"))
-    schema = T.StructType([seen.schema["_row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return seen.mapInArrow(_scorer(model), schema).select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], "score", "predicted")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {"score", "predicted"}]
+    whole = F.lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return docs.select(*rest, _scorer(model)(whole).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -198,9 +198,9 @@ def fit_tables(spark: SparkSession, sf_dir: str) -> Model:
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs that the model doesn't take for toxic, with their columns as they are."""
-    names = {c: fresh(docs, f"_c{i}") for i, c in enumerate(docs.columns)}
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    return score(plain, model, names[text], keep_text=True).filter("predicted = 0").select(*[F.col(n).alias(c) for c, n in names.items()])
+    mark = fresh(docs, "_score")
+    whole = F.lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return docs.withColumn(mark, _scorer(model)(whole)).filter(F.col(mark) < 0.5).drop(mark)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
