@@ -141,7 +141,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bit
     schema = held.drop("_text").schema.add("_recipe", T.ArrayType(T.LongType())).add("_points", "long").add("_sha", "string")
     made = stored(held.mapInArrow(_recipes(bits, twins), schema).withColumn("_at", F.monotonically_increasing_id()), "recipes")
     order = F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_at").alias("a"))
-    best = made.groupBy("_recipe").agg(F.count("*").alias("_n"), F.min(order).alias("_best"))
+    # written, so that the join's skewed side can be split
+    best = stored(made.groupBy("_recipe").agg(F.count("*").alias("_n"), F.min(order).alias("_best")), "best")
     return made.join(best, "_recipe").select(
         *[F.col(f"_row.`{c}`").alias(c) for c in rest],
         F.col("_best.i").alias("keep_id"),
