@@ -14,9 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from factloom.llm.common import _IS_SPACE, mix64, stored, table, text_blocks
+from factloom.llm.common import _IS_SPACE, fresh, mix64, stored, table, text_blocks
 from factloom.llm.components import components
 
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 1.2e-6.
@@ -210,8 +210,6 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
     rest = [c for c in docs.columns if c != text and c.lower() not in {"n_shingles", "component_id", "kept"}]
     least = max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 62
     ids = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    from pyspark.sql import types as T
-
     schema = ids.drop("_text").schema.add("n_shingles", "long").add("_set", "binary").add("_bands", T.ArrayType(T.LongType()))
     signed = stored(ids.mapInArrow(_signed(words, least), schema), "signed")
     classes = signed.filter("_set is not null and _id is not null").groupBy("_set").agg(F.min("_id").alias("least"), F.max("n_shingles").alias("n"), F.first("_bands").alias("_bands"))
@@ -264,7 +262,8 @@ def near_deduplicated(docs: DataFrame, words: int = 5, percent: int = PERCENT, d
     """The rows of docs that near_dedup keeps, with all their columns as they are."""
     plain = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t"))
     dropped = near_dedup(plain, words, percent, "i", "t").filter("not kept").select("i").distinct()
-    return docs.join(stored(dropped, "dropped"), F.col(f"`{doc_id}`") == F.col("i"), "left_anti")
+    gone = fresh(docs, "_gone")
+    return docs.join(stored(dropped.select(F.col("i").alias(gone)), "dropped"), F.col(f"`{doc_id}`") == F.col(gone), "left_anti")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

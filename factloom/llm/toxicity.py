@@ -56,7 +56,7 @@ def _grams(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray,
     scrambled ^= scrambled >> np.uint32(15)
     done = 0
     for order in ORDERS:
-        for k in range(done, order):
+        for k in range(done, min(order, len(h))):
             h[: len(h) - k] = (h[: len(h) - k] ^ scrambled[k:]) * _PRIME
             h[: len(h) - k] ^= h[: len(h) - k] >> np.uint32(13)
         done = order
