@@ -3,7 +3,7 @@
 A text's hash is its key, so that equal texts stand at one place of the ring. The ring is cut into a fixed number of bins;
 a bin belongs to the next virtual node clockwise. Loads are summed by bin, and a bin that finds its shard full goes on
 clockwise to the next shard with room. What the driver holds is the list of bins, whose length never grows with the data.
-A bin with a large share of the bytes or of the rows is dealt into sub-bins by a hash of the id, and only its overflow moves on.
+A bin with over half a shard's bytes is dealt into sub-bins by a hash of the id, and only what overflows moves on.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from factloom.llm.common import stored, table
 #: The ring has 2 ** RING_BITS bins; a heavy bin is dealt into PARTS sub-bins.
 RING_BITS, PARTS = 15, 256
 #: Virtual nodes of a shard, and a shard's room over the mean load.
-NODES, ROOM = 512, 0.02
+NODES, ROOM = 512, 0.0003
 
 
 def ring_owners(shards: int, bits: int = RING_BITS, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,8 +60,8 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
     """The rows of docs without the text, with size, text_crc32, law, shard, slot and grown_shard (columns so named are replaced).
 
     Size: UTF-8 bytes of the text (null: none) plus 8. The law is `bytes`: no shard holds more than (1 + room) times the mean,
-    so far as single texts allow it. Equal texts (null and empty ones too) go to one shard, but for a bin whose load is over
-    a sixteenth of a shard's: such a bin is dealt by id, and may overflow into the next shards. Repeated rows are placed
+    so far as single texts allow it. Equal texts (null and empty ones too) go to one shard, but for a bin that holds over half
+    a shard's bytes: such a bin is dealt by id, and its parts find room apart. Repeated rows are placed
     alike. slot counts a shard's rows from 0 without a gap. An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -82,22 +82,30 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
     sums = [F.sum("size").alias("bytes"), F.count("*").alias("rows")]
     bins = keyed.groupBy("_bin").agg(*sums).collect()  # 2 ** bits rows at most
     all_bytes, all_rows = sum(r.bytes for r in bins), sum(r.rows for r in bins)
-    heavy = [r._bin for r in bins if r.rows > 1 and 16 * shards * max(r.bytes / all_bytes, r.rows / all_rows) > 1]  # under 32 x shards of them
-    units = [(r._bin, 0, r.bytes, r.rows) for r in bins if r._bin not in set(heavy)]
-    dealt = F.lit(0)
-    if heavy:
-        dealt = F.when(F.col("_bin").isin(heavy), F.col("_part")).otherwise(0)
-        units += [(r._bin, r._part, r.bytes, r.rows) for r in keyed.filter(F.col("_bin").isin(heavy)).groupBy("_bin", "_part").agg(*sums).collect()]
-    placed = place([u[:3] for u in units], shards, bits, room=room)
-    starts, filled = [], [0] * shards
-    for (_, _, _, rows), s in zip(units, placed, strict=True):
-        starts.append(filled[s])
+    share = {r._bin: max(r.bytes / all_bytes, r.rows / all_rows) for r in bins if r.rows > 1}
+    # rows of a large bin are numbered by parts; only of a bin over half a shard's bytes the parts are placed apart
+    dealt = sorted(b for b, x in share.items() if 16 * shards * x > 1)  # under 32 x shards of them
+    apart = {r._bin for r in bins if r._bin in set(dealt) and 2 * shards * r.bytes > all_bytes}
+    counts = [(r._bin, 0, r.bytes, r.rows) for r in bins if r._bin not in set(dealt)]
+    part = F.lit(0)
+    if dealt:
+        part = F.when(F.col("_bin").isin(dealt), F.col("_part")).otherwise(0)
+        counts += [(r._bin, r._part, r.bytes, r.rows) for r in keyed.filter(F.col("_bin").isin(dealt)).groupBy("_bin", "_part").agg(*sums).collect()]
+    units: dict[tuple[int, int], int] = {}
+    for b, p, size, _ in counts:
+        key = (b, p if b in apart else 0)
+        units[key] = units.get(key, 0) + size
+    placed = dict(zip(units, place([(b, p, size) for (b, p), size in units.items()], shards, bits, room=room), strict=True))
+    plan, filled = [], [0] * shards
+    for b, p, _, rows in sorted(counts):
+        s = placed[b, p if b in apart else 0]
+        plan.append((b, p, s, filled[s]))
         filled[s] += rows
     # at most 2 ** bits + 32 x shards x PARTS rows of 24 bytes, whatever the input
-    plan = spark.createDataFrame([(b, p, s, at) for (b, p, _, _), s, at in zip(units, placed, starts, strict=True)], "_bin int, _unit int, shard int, _start long")
+    plan = spark.createDataFrame(plan, "_bin int, _unit int, shard int, _start long")
     within = Window.partitionBy("_bin", "_unit").orderBy("_at")
     return (
-        keyed.withColumn("_unit", dealt)
+        keyed.withColumn("_unit", part)
         .withColumn("_n", F.row_number().over(within))
         .join(F.broadcast(plan), ["_bin", "_unit"])
         .select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_start") + F.col("_n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
