@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
 Sizes are summed by source, targets and with them repetition rates derived, and each document is emitted floor(rate) times
-plus once more with the probability of the rate's fraction, by a hash of its id: a rerun takes the same documents.
+plus once more with the probability of the rate's fraction, by a hash of its id: a rerun takes the same documents. The hash
+holds DRAWS draws; a source goes by the one whose words come nearest to its target, which matters where it has few documents.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from factloom.llm.common import fresh, stored, table, word_count
 
 #: Weights of the sources in their order, repeated; the share of all sizes that they divide (in halves); the most repetitions.
 WEIGHTS, SHARE_HALVES, MOST = (3, 1, 2), 3, 2
-SEED = "mix-1"
+SEED, DRAWS = "mix-1", 8
 
 
 def ranked(values: DataFrame, column: str) -> DataFrame:
@@ -62,13 +63,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     of seed and id falls below the rate's fraction; repeated ids are drawn alike, a null id as an empty one. A source
     without words has rate 0. An empty table gives an empty one.
     """
-    sized = docs.select(F.col(f"`{source}`"), word_count(F.col(f"`{text}`")).alias("_size"))
-    of = targets(sized, source, "_size")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    column, ident = F.col(f"`{source}`"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
+    size = word_count(F.col(f"`{text}`"))
+    sized = stored(docs.select(column.alias("source"), ident.alias("id"), size.alias("size")), "sizes")
+    of = targets(sized)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = docs.withColumn("_size", word_count(F.col(f"`{text}`"))).join(of, F.col(f"`{source}`").eqNullSafe(F.col("_source")))
-    out = out.withColumns({"_copies": F.floor(rate) + (draw < rate - F.floor(rate)).cast("long"), "_taken": F.col("_size")})
-    return out.withColumn("_taken", F.col("_size") * F.col("_copies")).withColumnsRenamed({"source_size": "_source_size", "target": "_target"}).drop("_source")
+
+    def copies(ident: F.Column, draw: F.Column) -> F.Column:
+        digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), ident), 256), 8 * draw + 1, F.lit(8))
+        return F.floor(rate) + (F.conv(digits, 16, 10).cast("double") / float(1 << 32) < rate - F.floor(rate)).cast("long")
+
+    met = sized.join(of, F.col("source").eqNullSafe(F.col("_source")))
+    sums = met.groupBy("_source", "target").agg(*[F.sum(F.col("size") * copies(F.col("id"), F.lit(k))).alias(f"d{k}") for k in range(DRAWS)])
+    off = F.array(*[F.struct(F.abs(F.col(f"d{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)])
+    best = stored(sums.select(F.col("_source").alias("_of"), F.array_min(off)["k"].alias("_draw")), "draws")
+    of = stored(of.join(best, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of"), "rates")
+    out = docs.withColumn("_size", size).join(of, column.eqNullSafe(F.col("_source")))
+    out = out.withColumn("_copies", copies(ident, F.col("_draw"))).withColumn("_taken", F.col("_size") * F.col("_copies"))
+    return out.withColumnsRenamed({"source_size": "_source_size", "target": "_target"}).drop("_source", "_draw")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
@@ -96,8 +108,9 @@ f AS (SELECT coalesce(max(caps) FILTER (WHERE 4 * source_size * (weights - full_
              coalesce(max(k) FILTER (WHERE 4 * source_size * (weights - full_weight + weight) <= (3 * total - 2 * (caps - 2 * source_size)) * weight), 0) AS k FROM p),
 t AS (SELECT p.source, p.source_size, CASE WHEN p.k <= f.k THEN (2 * p.source_size)::DOUBLE
              ELSE ((3 * p.total - 2 * f.caps) * p.weight)::DOUBLE / (2.0 * (p.weights - f.full_weight))::DOUBLE END AS target FROM p, f),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-             ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS draw
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM r
+r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+             sha256('mix-1:' || coalesce(d.doc_id::VARCHAR, '')) AS h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT r.*, k, size * (floor(rate)::BIGINT + (('0x' || substr(h, 8 * k::INT + 1, 8))::BIGINT::DOUBLE / 4294967296.0 < rate - floor(rate))::BIGINT) AS taken FROM r, range(8) x(k)),
+b AS (SELECT source, arg_min(k, (off, k)) AS k FROM (SELECT source, k, abs(sum(taken)::DOUBLE - any_value(target)) AS off FROM c GROUP BY source, k) GROUP BY source)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken FROM c JOIN b ON c.k = b.k AND c.source IS NOT DISTINCT FROM b.source
 """
