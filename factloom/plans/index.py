@@ -16,12 +16,11 @@ from factloom.operators.relational import change_counters, changes, delete_keys
 from factloom.operators.shared import written
 from factloom.plans.extract import extract, resolve_references, sites_of, symbols_of
 from factloom.plans.progress import BuildProgress
+from factloom.plans.registry import REGISTRY
 from factloom.sources.store import Manifest, Store
 from factloom.sources.topology import SourceSet, read_files
 
 INDEXER_VERSION = "1"
-#: Producers in their order, and the kind of file each reads.
-PRODUCERS = (("java-source", "java"), ("kotlin-psi-symbols", "kt"), ("xml-resources", "xml"), ("selection-context", "kt"))
 
 
 def git_head(workspace: Path) -> str:
@@ -72,13 +71,12 @@ def build(spark: SparkSession, workspace: str | Path, commit: str, sources: Sour
     wants_sites = "selection-context" in applications
     totals = {r.kind: r["count"] for r in changed.groupBy(extension(F.col("relative_file")).alias("kind")).count().collect() if r.kind in ("java", "kt", "xml")}
     marked = files.join(changed, "relative_file", "left").select("relative_file", "content", F.coalesce("is_changed", F.lit(False)).alias("changed"), (F.lit(wants_sites) & F.col("relative_file").endswith(".kt")).alias("sites"))
-    for name, kind in PRODUCERS:
-        if name != "selection-context" or wants_sites:
-            progress.phase_started(name, totals.get(kind, 0))
+    phases = REGISTRY.for_applications(applications)
+    for p in phases:
+        progress.phase_started(p.id, p.progress_total(totals))
     facts = written(extract(marked.filter("changed or sites")), "facts")
-    for name, kind in PRODUCERS:
-        if name != "selection-context" or wants_sites:
-            progress.phase_completed(name, totals.get(kind, 0))
+    for p in phases:
+        progress.phase_completed(p.id, p.progress_total(totals))
     kept_symbols, kept_refs = store.table("symbols"), store.table("refs")
     if full:
         kept_symbols, kept_refs = kept_symbols.limit(0), kept_refs.limit(0)

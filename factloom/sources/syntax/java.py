@@ -425,9 +425,10 @@ class _Reader:
             if t.word == "instanceof":
                 t.take()
                 self.modifiers()
-                self.type_()
-                if t.kind == "id" and t.word not in ("instanceof",):
-                    t.take()
+                kind, at = self.type_(), t.offset
+                if t.kind == "id" and t.word != "instanceof":
+                    whole.add(self.close(Node("local", at, t.take(), declared=kind)))
+                    whole.kids[-1].end = t.behind()
                 elif t.word == "(":
                     t.skip_balanced()
             word = t.word if t.kind == "op" else ""

@@ -230,11 +230,23 @@ def _wraps(call: Node, rules) -> bool:
     return rule is not None and (rule[1], rule[2]) in call.slots["args"]
 
 
+def _with_aliases(f: KotlinFile, names: frozenset[str]) -> frozenset[str]:
+    return names | {a for p, a in f.tree.slots["imports"] if a and p.rpartition(".")[2] in names}
+
+
+def call_at_line(f: KotlinFile, line: int) -> Node:
+    """The first call on a line that is no container, else the first call."""
+    calls = [n for n in f.tree.walk() if n.kind == "call" and n.name and f.at(n.start)[0] == line]
+    known = _with_aliases(f, CONTAINERS) | _with_aliases(f, DISABLERS)
+    found = [n for n in calls if n.name not in known] or calls
+    if not found:
+        raise ValueError(f"no call at {f.path}:{line}")
+    return found[0]
+
+
 def kotlin_sites(f: KotlinFile, out: Facts, rules=(), containers=CONTAINERS, disablers=DISABLERS) -> None:
     """Calls within composable functions, with the containers around them, innermost first."""
-    named = [(p.rpartition(".")[2], a) for p, a in f.tree.slots["imports"] if a]
-    containers = containers | {a for n, a in named if n in containers}
-    disablers = disablers | {a for n, a in named if n in disablers}
+    containers, disablers = _with_aliases(f, containers), _with_aliases(f, disablers)
     for call in (n for n in f.tree.walk() if n.kind == "call" and n.name):
         enclosing = next((x for x in call.up() if _composable(x)), None)
         if enclosing is None or call.name in containers or call.name in disablers:

@@ -7,6 +7,7 @@ import pytest
 
 from factloom import cli
 from factloom.plans.index import build, git_head
+from factloom.plans.registry import REGISTRY, Registry
 from factloom.plans.progress import BuildProgress, workspace_path
 from factloom.sources import topology as T
 from factloom.sources.store import Manifest, Store
@@ -120,6 +121,14 @@ def test_paths_and_progress():
     assert events[-1]["outcome"] == "indexed" and list(events[1])[:3] == ["version", "event", "phase"]
 
 
+def test_registry():
+    ids = [p.id for p in REGISTRY.for_applications(["selection-context", "unknown"])]
+    assert ids == ["java-source", "kotlin-psi-symbols", "xml-resources", "selection-context", "file-hash"]
+    assert "selection-context" not in [p.id for p in REGISTRY.for_applications([])] and REGISTRY.get("none") is None
+    with pytest.raises(ValueError):
+        Registry(REGISTRY.all()).register(REGISTRY.get("file-hash"))
+
+
 def test_manifest():
     m = Manifest("c", "1", ":", "gradle-parse", False, 1, "h", "t", ["b", "a"])
     assert Manifest.from_json(m.to_json()) == m and '"sourcesContentHash"' in m.to_json()

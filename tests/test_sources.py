@@ -80,6 +80,19 @@ def test_java_anonymous_classes_and_lambdas():
     assert any(r["fqn"] == "T#b" for r in rows)
 
 
+def test_java_patterns_bind():
+    assert [r["fqn"] for r in java("class A { void f(Object o) { if (o instanceof P p && p.ok()) { } } }") if r["context"] == "call"] == ["P#ok"]
+
+
+def test_kotlin_call_at_line():
+    from factloom.sources.syntax.kotlin_facts import KotlinFile, call_at_line
+
+    f = KotlinFile("a.kt", SITES["nested.kt"])
+    assert call_at_line(f, 7).name == "ActionButton" and call_at_line(f, 5).name == "SelectionContainer"
+    with pytest.raises(ValueError):
+        call_at_line(f, 1)
+
+
 def test_java_bean_candidates():
     rows = java("class A { B b; void f() { b.getName(); b.issue(); } }")
     assert [r["candidates"] for r in rows if r["context"] == "call"] == [["B#getName", "B#name"], ["B#issue", "B#sue"]]
