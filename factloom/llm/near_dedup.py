@@ -3,8 +3,10 @@
 Documents with the same shingle set are one node. A node's signature has BANDS x ROWS slots; nodes that agree in all slots
 of a band meet in a bucket. In a bucket each node is held against one leader, not against all: what links to it needs no
 more comparisons among itself. Where a bucket then still holds several components, nodes of its largest one are held
-against the nodes outside that one (of any, where the largest is small), eight times as many each round, until every pair of
-nodes of different components that meets in a bucket has been compared. No cap ends this early.
+against the nodes outside that one (of any, where the largest is small), sixteen times as many each round, until every pair
+of nodes of different components that meets in a bucket has been compared. No cap ends this early. A comparison looks at
+four bits of each slot first: pairs that these show to be alike go first, as they join components; then all others that
+these do not rule out. What is left of a pair is verified on full sets.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from factloom.llm.components import components
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 1.2e-6.
 BANDS, ROWS = 45, 6
 SLOTS = BANDS * ROWS
+#: Pairs are ruled out whose slots agree so many standard errors less often than those of the threshold: 1e-6 of those that reach it.
+DEVIATIONS = 4.75
+#: Leaders of a bucket in the first round, and how many times as many in the next ones.
+LEADERS, MORE_LEADERS = 64, 16
 #: Similarity from which documents are linked, in hundredths.
 PERCENT = 80
 #: Sets of this size and more run their few steps with a list of swaps, smaller ones with whole permutations.
@@ -146,6 +152,32 @@ def band_keys(h: np.ndarray) -> np.ndarray:
         return mix64(bits.reshape(len(h), BANDS, ROWS).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def sketches(h: np.ndarray) -> np.ndarray:
+    """Sets x words: four bits of each slot, sixteen slots to a word."""
+    bits = mix64(h.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(15)
+    bits = np.pad(bits, ((0, 0), (0, -SLOTS % 16))).reshape(len(h), -1, 16)
+    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def _agreeing(a: str, b: str) -> F.Column:
+    """How many slots agree in the sketches a and b."""
+    differ = []
+    for i in range(-(-SLOTS // 16)):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        z = y.bitwiseOR(F.shiftrightunsigned(y, 2))
+        differ.append(F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111))))
+    total = differ[0]
+    for d in differ[1:]:
+        total = total + d
+    return F.lit(SLOTS) - total
+
+
+def _least_agreeing(percent: int, deviations: float) -> int:
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(np.floor(SLOTS * p - deviations * np.sqrt(SLOTS * p * (1 - p))))
+
+
 def _name(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -160,19 +192,21 @@ def _signed(words: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, bands = [], [], []
+            sizes, names, bands, drawn = [], [], [], []
             for _, _, offsets, data in text_blocks(batch.column("_text"), 1 << 20):
                 sets = shingle_sets(offsets, data, words)
                 large = [i for i, s in enumerate(sets) if len(s) >= least]
-                keys = [None] * len(sets)
+                keys, shown = [None] * len(sets), [None] * len(sets)
                 if large:
-                    for i, k in zip(large, band_keys(signatures([sets[i] for i in large])), strict=True):
-                        keys[i] = k
+                    h = signatures([sets[i] for i in large])
+                    for i, k, d in zip(large, band_keys(h), sketches(h), strict=True):
+                        keys[i], shown[i] = k, d
                 sizes += [len(s) for s in sets]
                 names += [_name(s) if len(s) else None for s in sets]
                 bands += keys
+                drawn += shown
             columns, labels = _rest(batch)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [*labels, "n_shingles", "_set", "_bands"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(drawn, pa.list_(pa.int64()))], [*labels, "n_shingles", "_set", "_bands", "_sketch"])
 
     return run
 
@@ -199,6 +233,36 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _settled(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataFrame, sets: DataFrame, percent: int, agreeing: int) -> tuple[DataFrame, DataFrame]:
+    """stars and seen, after every pair of different components that meets in a bucket and agrees in so many slots was compared."""
+    leaders, first = LEADERS, None
+    while True:
+        named = members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left").select("key", "node", F.coalesce("star", "node").alias("star"))
+        largest = named.groupBy("key", "star").count().groupBy("key").agg(F.max(F.struct("count", "star")).alias("m"), F.count("*").alias("stars"), F.sum("count").alias("nodes"))
+        unsettled = named.join(largest.filter("stars > 1").select("key", "nodes", F.col("m.star").alias("main"), F.col("m.count").alias("mains")), "key")
+        if first is not None:  # those have been held against all in their bucket
+            unsettled = unsettled.join(first.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
+        members = stored(unsettled, "unsettled")
+        if not members.take(1):
+            return stars, seen
+        part = F.when(F.col("nodes") <= leaders, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(leaders)))
+        first = members.filter((F.col("star") == F.col("main")) | (F.col("mains") < leaders)).groupBy("key", part.alias("part")).agg(F.min("node").alias("node"))
+        first = stored(first.select("key", "node").join(members, ["key", "node"]).select("key", F.col("node").alias("leader"), F.col("star").alias("leads")), "leaders")
+        # a pair that meets in several buckets (of BANDS at most) is made in one of them
+        led = first.groupBy("leader").agg(F.collect_list("key").alias("led_keys")).join(about.select(F.col("node").alias("leader"), F.col("n").alias("size"), F.col("_sketch").alias("led_sketch")), "leader")
+        held = members.groupBy("node").agg(F.collect_list("key").alias("keys")).join(about, "node")
+        like = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
+        once = F.col("key") == F.array_min(F.array_intersect("keys", "led_keys"))
+        wanted = (F.col("star") != F.col("leads")) & like & (_agreeing("_sketch", "led_sketch") >= agreeing) & once
+        met = members.join(held, "node").join(first.join(led, "leader"), "key").filter(wanted).select(*_pair("node", "leader")).distinct()
+        met = stored(met.join(seen, ["a", "b"], "left_anti"), "pairs")
+        if met.take(1):
+            stars = components(stars.union(_verified(met, sets, percent)))
+            seen = seen.union(met)
+        members = members.select("key", "node")
+        leaders *= MORE_LEADERS
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without the text, with n_shingles, component_id and kept (columns so named are replaced).
 
@@ -210,10 +274,10 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
     rest = [c for c in docs.columns if c != text and c.lower() not in {"n_shingles", "component_id", "kept"}]
     least = max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 62
     ids = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    schema = ids.drop("_text").schema.add("n_shingles", "long").add("_set", "binary").add("_bands", T.ArrayType(T.LongType()))
+    schema = ids.drop("_text").schema.add("n_shingles", "long").add("_set", "binary").add("_bands", T.ArrayType(T.LongType())).add("_sketch", T.ArrayType(T.LongType()))
     signed = stored(ids.mapInArrow(_signed(words, least), schema), "signed")
-    classes = signed.filter("_set is not null and _id is not null").groupBy("_set").agg(F.min("_id").alias("least"), F.max("n_shingles").alias("n"), F.first("_bands").alias("_bands"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = signed.filter("_set is not null and _id is not null").groupBy("_set").agg(F.min("_id").alias("least"), F.max("n_shingles").alias("n"), F.first(F.struct("_bands", "_sketch")).alias("_f"))
+    classes = stored(classes.select("_set", "least", "n", "_f.*").withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("node", "n", F.explode("_bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
     members = stored(members.join(buckets, "key"), "members")
@@ -224,36 +288,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
 
     seen = stored(members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("leader")).select(*_pair("node", "leader")).distinct(), "pairs")
     stars = components(_verified(seen, sets, percent))
-    members, leaders, first = members.select("key", "node", "n"), 8, None
-    while True:
-        named = members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left").select("key", "node", "n", F.coalesce("star", "node").alias("star"))
-        largest = named.groupBy("key", "star").count().groupBy("key").agg(F.max(F.struct("count", "star")).alias("m"), F.count("*").alias("stars"), F.sum("count").alias("nodes"))
-        unsettled = named.join(largest.filter("stars > 1").select("key", "nodes", F.col("m.star").alias("main"), F.col("m.count").alias("mains")), "key")
-        if first is not None:  # those have been held against all in their bucket
-            unsettled = unsettled.join(first.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
-        members = stored(unsettled, "unsettled")
-        if not members.take(1):
-            break
-        part = F.when(F.col("nodes") <= leaders, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(leaders)))
-        first = members.filter((F.col("star") == F.col("main")) | (F.col("mains") < leaders)).groupBy("key", part.alias("part")).agg(F.min("node").alias("node"))
-        first = first.select("key", "node").join(members, ["key", "node"]).select("key", F.col("node").alias("leader"), F.col("star").alias("leads"), F.col("n").alias("size"))
-        first = stored(first, "leaders")
-        # a pair that meets in several buckets (of BANDS at most) is made in one of them
-        led = first.join(first.groupBy("leader").agg(F.collect_list("key").alias("led_keys")), "leader")
-        held = members.join(members.groupBy("node").agg(F.collect_list("key").alias("keys")), "node")
-        like = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
-        once = F.col("key") == F.array_min(F.array_intersect("keys", "led_keys"))
-        met = held.join(led, "key").filter("star <> leads").filter(like & once).select(*_pair("node", "leader")).distinct()
-        met = stored(met.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if met.take(1):
-            stars = components(stars.union(_verified(met, sets, percent)))
-            seen = seen.union(met)
-        members = members.select("key", "node", "n")
-        leaders *= 8
+    for agreeing in (_least_agreeing(percent, 0), _least_agreeing(percent, DEVIATIONS)):
+        stars, seen = _settled(members.select("key", "node"), classes.select("node", "n", "_sketch"), stars, seen, sets, percent, agreeing)
     starred = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), "b").distinct())
     smallest = starred.join(classes.select(F.col("node").alias("a"), "least"), "a").groupBy("b").agg(F.min("least").alias("component_id"))
     of = classes.select("node", "_set", "least").join(starred.join(smallest, "b").select(F.col("a").alias("node"), "component_id"), "node", "left").select(F.col("_set").alias("_of"), F.coalesce("component_id", "least").alias("component_id"))
-    out = signed.drop("_bands").join(of, F.col("_set") == F.col("_of"), "left")
+    out = signed.drop("_bands", "_sketch").join(of, F.col("_set") == F.col("_of"), "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 
