@@ -24,10 +24,12 @@ from factloom.llm.components import components
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 1.2e-6.
 BANDS, ROWS = 45, 6
 SLOTS = BANDS * ROWS
-#: Pairs are ruled out whose slots agree so many standard errors less often than those of the threshold: 1e-6 of those that reach it.
-DEVIATIONS = 4.75
-#: Leaders of a bucket in the first round, and how many times as many in the next ones.
-LEADERS, MORE_LEADERS = 64, 16
+#: Pairs are ruled out whose slots agree so many standard errors less often than those of the threshold: 3e-5 of those right at it.
+DEVIATIONS = 4.0
+#: Leaders of a bucket in the rounds for pairs that look alike; for all pairs at first, and how many times as many in the next rounds.
+FIRST_LEADERS, LEADERS, MORE_LEADERS = (4, 64), 1024, 16
+#: Buckets of more nodes are compared in so many parts.
+LARGE_BUCKET, PARTS = 128, 16
 #: Similarity from which documents are linked, in hundredths.
 PERCENT = 80
 #: Sets of this size and more run their few steps with a list of swaps, smaller ones with whole permutations.
@@ -233,9 +235,12 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _settled(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataFrame, sets: DataFrame, percent: int, agreeing: int) -> tuple[DataFrame, DataFrame]:
-    """stars and seen, after every pair of different components that meets in a bucket and agrees in so many slots was compared."""
-    leaders, first = LEADERS, None
+def _settled(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataFrame, sets: DataFrame, percent: int, leaders: int, agreeing: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """stars and seen, after pairs of different components that meet in a bucket and agree in so many slots were compared.
+
+    whole: all such pairs, in rounds; otherwise those of one round of leaders.
+    """
+    first = None
     while True:
         named = members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left").select("key", "node", F.coalesce("star", "node").alias("star"))
         largest = named.groupBy("key", "star").count().groupBy("key").agg(F.max(F.struct("count", "star")).alias("m"), F.count("*").alias("stars"), F.sum("count").alias("nodes"))
@@ -243,22 +248,32 @@ def _settled(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataF
         if first is not None:  # those have been held against all in their bucket
             unsettled = unsettled.join(first.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
         members = stored(unsettled, "unsettled")
-        if not members.take(1):
+        most = members.agg(F.max("nodes")).first()[0]
+        if most is None:
             return stars, seen
         part = F.when(F.col("nodes") <= leaders, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(leaders)))
         first = members.filter((F.col("star") == F.col("main")) | (F.col("mains") < leaders)).groupBy("key", part.alias("part")).agg(F.min("node").alias("node"))
-        first = stored(first.select("key", "node").join(members, ["key", "node"]).select("key", F.col("node").alias("leader"), F.col("star").alias("leads")), "leaders")
+        first = stored(first.select("key", "node").join(members, ["key", "node"]).select("key", "nodes", F.col("node").alias("leader"), F.col("star").alias("leads")), "leaders")
         # a pair that meets in several buckets (of BANDS at most) is made in one of them
         led = first.groupBy("leader").agg(F.collect_list("key").alias("led_keys")).join(about.select(F.col("node").alias("leader"), F.col("n").alias("size"), F.col("_sketch").alias("led_sketch")), "leader")
         held = members.groupBy("node").agg(F.collect_list("key").alias("keys")).join(about, "node")
         like = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
         once = F.col("key") == F.array_min(F.array_intersect("keys", "led_keys"))
-        wanted = (F.col("star") != F.col("leads")) & like & (_agreeing("_sketch", "led_sketch") >= agreeing) & once
-        met = members.join(held, "node").join(first.join(led, "leader"), "key").filter(wanted).select(*_pair("node", "leader")).distinct()
+        one_way = (F.col("nodes") > leaders) | (F.col("node") < F.col("leader"))
+        wanted = (F.col("star") != F.col("leads")) & one_way & like & (_agreeing("_sketch", "led_sketch") >= agreeing) & once
+        large = F.col("nodes") > LARGE_BUCKET
+        # leaders all of the main component need not meet its other nodes
+        asked = members.filter((F.col("star") != F.col("main")) | (F.col("mains") < leaders)).drop("main", "mains")
+        whole_side = asked.withColumn("deal", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).join(held, "node")
+        dealt_side = first.withColumn("deal", F.when(large, F.pmod(F.xxhash64("leader"), F.lit(PARTS)).cast("int")).otherwise(0)).drop("nodes").join(led, "leader")
+        parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = whole_side.repartition(parts, "key", "deal").join(dealt_side.repartition(parts, "key", "deal"), ["key", "deal"]).filter(wanted).select(*_pair("node", "leader")).distinct()
         met = stored(met.join(seen, ["a", "b"], "left_anti"), "pairs")
         if met.take(1):
             stars = components(stars.union(_verified(met, sets, percent)))
             seen = seen.union(met)
+        if not whole or most <= leaders:
+            return stars, seen
         members = members.select("key", "node")
         leaders *= MORE_LEADERS
 
@@ -288,8 +303,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
 
     seen = stored(members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("leader")).select(*_pair("node", "leader")).distinct(), "pairs")
     stars = components(_verified(seen, sets, percent))
-    for agreeing in (_least_agreeing(percent, 0), _least_agreeing(percent, DEVIATIONS)):
-        stars, seen = _settled(members.select("key", "node"), classes.select("node", "n", "_sketch"), stars, seen, sets, percent, agreeing)
+    alike, possible = _least_agreeing(percent, 0), _least_agreeing(percent, DEVIATIONS)
+    for leaders, agreeing, whole in (*((n, alike, False) for n in FIRST_LEADERS), (LEADERS, possible, True)):
+        stars, seen = _settled(members.select("key", "node"), classes.select("node", "n", "_sketch"), stars, seen, sets, percent, leaders, agreeing, whole)
     starred = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), "b").distinct())
     smallest = starred.join(classes.select(F.col("node").alias("a"), "least"), "a").groupBy("b").agg(F.min("least").alias("component_id"))
     of = classes.select("node", "_set", "least").join(starred.join(smallest, "b").select(F.col("a").alias("node"), "component_id"), "node", "left").select(F.col("_set").alias("_of"), F.coalesce("component_id", "least").alias("component_id"))
