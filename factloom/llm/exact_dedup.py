@@ -156,13 +156,14 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bit
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns as they are; texts move once."""
     key, sha, points = (fresh(docs, x) for x in ("_key", "_sha", "_points"))
-    kept = exact_dedup(docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")), "i", "t").filter("kept")
-    kept = stored(kept.select(F.col("i").alias(key), F.col("text_sha256").alias(sha), F.col("n_points").alias(points)), "kept")
+    told = exact_dedup(docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t")), "i", "t").withColumnsRenamed({"i": key, "text_sha256": sha, "n_points": points})
+    told = stored(told.groupBy(key, sha, points).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).filter("kept"), "kept")
+    kept = told.select(key, sha, points)
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     marked = docs.withColumns({key: F.col(f"`{doc_id}`"), sha: F.sha2(F.translate(whole, SPACES, ""), 256), points: F.length(whole).cast("long")})
     same = [marked[c].eqNullSafe(kept[c]) for c in (key, sha, points)]
     out = marked.join(kept, same[0] & same[1] & same[2], "left_semi")
-    if out.count() > kept.count():  # repeated rows, or the same id with other white space: one of each
+    if told.filter("n > 1").take(1):  # repeated rows, or the same id with other white space: one of each
         out = out.dropDuplicates([key, sha, points])
     return out.drop(key, sha, points)
 
