@@ -69,3 +69,15 @@ def test_keys(spark):
     parsed = K.parse_site_key(F.lit("compose:selection-site:a:b.kt:10:4"), 2)
     assert [one(spark, parsed[c]) for c in ("file", "line", "column")] == ["a:b.kt", 10, 4]
     assert [one(spark, K.is_key(F.lit(k))) for k in ("a:b", "ab", " ")] == [True, False, False]
+
+
+def test_records_round_trip_and_defaults(spark):
+    from factloom.plans.records import references_from_json, symbol_json, symbols_from_json
+
+    short = spark.createDataFrame([('{"type":"symbol","fqn":"a.b","relativeFile":"f","line":1,"kind":"class","name":"b","more":1}',)], "json string")
+    symbols = symbols_from_json(short)
+    row = symbols.first()
+    assert (row.fqn, row.language, row.aliases, row.arity) == ("a.b", "unknown", [], None)
+    assert symbols_from_json(symbol_json(symbols)).first() == row
+    ref = references_from_json(spark.createDataFrame([('{"symbolFqn":"a.B#c","relativeFile":"f","line":1,"column":2}',)], "json string")).first()
+    assert (ref.referenced_name, ref.context, ref.candidate_symbol_fqns) == ("c", "call", ["a.B#c"])
