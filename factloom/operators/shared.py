@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+_opened: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """This application's folder below spark.checkpoint.dir (below one of our own only where that is unset). It goes when Python ends."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    path = f"{path.rstrip('/')}/factloom-{spark.sparkContext.applicationId}"
+    if path not in _opened:
+        _opened.add(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        atexit.register(_remove, system, place)
+    return path
+
+
+def _remove(system, place) -> None:
+    with contextlib.suppress(Exception):  # Spark may be gone by then
+        system.delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet and read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
