@@ -1,15 +1,15 @@
-"""What the operators of this subpackage share: tables in the shared folder, Arrow text buffers, clash-free names."""
+"""What the operators of this subpackage share: tables, Arrow text buffers, clash-free names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.operators.shared import written as stored  # noqa: F401  (for the operators)
+
 #: Bytes of text that a Python worker turns into arrays at once; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: The characters of `[\x20\x09-\x0D]`, all of one byte in UTF-8.
@@ -24,23 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; only where it is unset (tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and read again: lineage ends here and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """name, or a variation of it that no column of df bears (letter case aside)."""
     taken = {c.lower() for c in df.columns}
