@@ -7,30 +7,16 @@ holds DRAWS draws; a source goes by the one whose words come nearest to its targ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm.common import fresh, stored, table, word_count
+from factloom.operators.shared import global_row_number
 
 #: Weights of the sources in their order, repeated; the share of all sizes that they divide (in halves); the most repetitions.
 WEIGHTS, SHARE_HALVES, MOST = (3, 1, 2), 3, 2
 SEED, DRAWS = "mix-1", 8
 
 
-def ranked(values: DataFrame, column: str) -> DataFrame:
-    """values with _rank from 0 in the order of column, nulls last, without a task that sees all rows."""
-    spark = values.sparkSession
-    order = [F.col(column).isNull(), F.col(column)]
-    dealt = stored(values.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_run", F.spark_partition_id()), "runs")
-    counts = sorted((r["_run"], r["count"]) for r in dealt.groupBy("_run").count().collect())  # one row a partition
-    starts, before = [], 0
-    for run, n in counts:
-        starts.append((run, before))
-        before += n
-    starts = spark.createDataFrame(starts, "_run int, _start long")
-    rank = F.row_number().over(Window.partitionBy("_run").orderBy(*order)) - 1
-    return dealt.withColumn("_n", rank).join(F.broadcast(starts), "_run").withColumn("_rank", F.col("_start") + F.col("_n")).drop("_run", "_n", "_start")
-
-
 def targets(sizes: DataFrame, source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS, share_halves: int = SHARE_HALVES, most: int = MOST) -> DataFrame:
     """Of each source: source_size and target. sizes: a row for each document.
 
@@ -38,8 +24,8 @@ def targets(sizes: DataFrame, source: str = "source", size: str = "size", weight
     target stops at `most` times the source's size, and its excess is shared anew by weight among the others until none is above.
     """
     sums = sizes.groupBy(F.col(f"`{source}`").alias("_source")).agg(F.sum(size).alias("source_size"))
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    by_source = stored(ranked(sums, "_source").withColumn("_weight", weight.cast("long")), "sources")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))
+    by_source = stored(global_row_number(sums, [F.col("_source").isNull(), F.col("_source")], "_rank").withColumn("_weight", weight.cast("long")), "sources")
     cap = F.lit(most) * F.col("source_size")
     total, weigh = by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_weight"), F.lit(0))).first()
     halves, full_weight, full, above = share_halves * total, 0, 0, F.lit(False)
