@@ -108,6 +108,21 @@ def test_near_dedup_of_chains(spark):
     check_near(spark, spark.createDataFrame(near_copies(1), "doc_id long, text string"), 2)
 
 
+def test_large_buckets_take_rounds_and_parts(spark, monkeypatch):
+    for name, value in {"FIRST_LEADERS": (2,), "LEADERS": 3, "MORE_LEADERS": 2, "LARGE_BUCKET": 4, "PARTS": 3}.items():
+        monkeypatch.setattr(N, name, value)
+    check_near(spark, spark.createDataFrame(near_copies(7, 3, 24), "doc_id long, text string"), 2)
+
+
+def test_sketches_count_agreeing_slots(spark):
+    rnd = np.random.default_rng(4)
+    h = rnd.random((2, N.SLOTS))
+    h[1, :200] = h[0, :200]
+    a, b = (x.tolist() for x in N.sketches(h))
+    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(N._agreeing("a", "b").alias("n")).first()
+    assert 200 <= row.n <= 200 + 20
+
+
 def test_near_deduplicated_keeps_one_of_each(spark):
     docs = spark.createDataFrame(near_copies(2, 4, 8), "doc_id long, text string").withColumn("i", F.lit(1))
     got = N.near_deduplicated(docs, words=2)
