@@ -25,7 +25,7 @@ from factloom.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose encoding a worker keeps, and the longest that it keeps.
-KEPT, KEPT_CHARS = 400_000, 40
+KEPT, KEPT_CHARS = 150_000, 40
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -186,7 +186,7 @@ class Transducer:
 
     def _may_follow(self, a: int, b: int) -> bool:
         left, right = self.model.pieces[a], self.model.pieces[b]
-        if len(self.follows) >= 2_000_000:
+        if len(self.follows) >= 500_000:
             self.follows.clear()
         ok = self.follows[a * len(self.model.pieces) + b] = self._is_whole(b) and self._merge(left + right) == [left, right]
         return ok

@@ -18,7 +18,7 @@ from factloom.llm.common import table, text_blocks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose length a worker keeps.
-KEPT = 400_000
+KEPT = 200_000
 
 
 def read_vocabulary(path: str = MODEL) -> tuple[frozenset[str], frozenset[str]]:
