@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, in a worker that gives memory back to the system: workers are used again for other stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with at most `most` bytes (one row at least): first row, end row, offsets from 0, bytes.
 

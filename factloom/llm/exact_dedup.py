@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from factloom.llm.common import SPACES, _IS_SPACE, fresh, stored, table, text_blocks
+from factloom.llm.common import SPACES, _IS_SPACE, fresh, lean, stored, table, text_blocks
 
 #: Content-defined chunks: about 2 ** CUT_BITS bytes each on average, never over MOST_BYTES.
 CUT_BITS, WINDOW, MOST_BYTES = 11, 32, 1 << 16
@@ -116,7 +116,7 @@ def twin_chunks(texts: DataFrame, bits: int) -> dict[int, list[bytes]]:
 
     A 64-bit identity has such twins about once in 2 ** 64 pairs of chunks, so that the list needs no more room than that.
     """
-    bodies = texts.mapInArrow(_bodies(bits), "id long, body binary").distinct()
+    bodies = texts.mapInArrow(lean(_bodies(bits)), "id long, body binary").distinct()
     shared = bodies.groupBy("id").count().filter("count > 1").select("id")
     if not shared.take(1):
         return {}
@@ -139,7 +139,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bit
     twins = twin_chunks(docs.select(whole), bits)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"), whole)
     schema = held.drop("_text").schema.add("_recipe", T.ArrayType(T.LongType())).add("_points", "long").add("_sha", "string")
-    made = stored(held.mapInArrow(_recipes(bits, twins), schema).withColumn("_at", F.monotonically_increasing_id()), "recipes")
+    made = stored(held.mapInArrow(lean(_recipes(bits, twins)), schema).withColumn("_at", F.monotonically_increasing_id()), "recipes")
     order = F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_at").alias("a"))
     # written, so that the join's skewed side can be split
     best = stored(made.groupBy("_recipe").agg(F.count("*").alias("_n"), F.min(order).alias("_best")), "best")

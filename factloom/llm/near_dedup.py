@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from factloom.llm.common import _IS_SPACE, fresh, mix64, stored, table, text_blocks
+from factloom.llm.common import _IS_SPACE, fresh, lean, mix64, stored, table, text_blocks
 from factloom.llm.components import components
 
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 1.2e-6.
@@ -290,7 +290,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
     least = max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 62
     ids = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     schema = ids.drop("_text").schema.add("n_shingles", "long").add("_set", "binary").add("_bands", T.ArrayType(T.LongType())).add("_sketch", T.ArrayType(T.LongType()))
-    signed = stored(ids.mapInArrow(_signed(words, least), schema), "signed")
+    signed = stored(ids.mapInArrow(lean(_signed(words, least)), schema), "signed")
     classes = signed.filter("_set is not null and _id is not null").groupBy("_set").agg(F.min("_id").alias("least"), F.max("n_shingles").alias("n"), F.first(F.struct("_bands", "_sketch")).alias("_f"))
     classes = stored(classes.select("_set", "least", "n", "_f.*").withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("node", "n", F.explode("_bands").alias("key"))
@@ -299,7 +299,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
     wanted = members.select("node").distinct().join(classes.select("node", "least", "_set"), "node")
     wanted = stored(wanted, "wanted")
     texts = ids.select("_id", "_text").join(wanted.select(F.col("least").alias("_id")).distinct(), "_id", "left_semi").select("_text")
-    sets = stored(texts.mapInArrow(_whole_sets(words), "_set binary, s array<long>").join(wanted, "_set").select("node", "s").dropDuplicates(["node"]), "sets")
+    sets = stored(texts.mapInArrow(lean(_whole_sets(words)), "_set binary, s array<long>").join(wanted, "_set").select("node", "s").dropDuplicates(["node"]), "sets")
 
     seen = stored(members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("leader")).select(*_pair("node", "leader")).distinct(), "pairs")
     stars = components(_verified(seen, sets, percent))

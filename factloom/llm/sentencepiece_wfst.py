@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from factloom.llm.common import table
+from factloom.llm.common import lean, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, model: Compiled, text: str = "text") -> DataFrame:
     rest = [c for c in docs.columns if c != text and c.lower() not in {"piece_ids", "n_pieces", "round_trip"}]
     seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(f"`{text}`").alias("_text"))
     schema = T.StructType([seen.schema["_row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
-    return seen.mapInArrow(_encoder(model), schema).select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "round_trip")
+    return seen.mapInArrow(lean(_encoder(model)), schema).select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "round_trip")
 
 
 def decode(encoded: DataFrame, model: Compiled, ids: str = "piece_ids", text: str = "text") -> DataFrame:
@@ -276,7 +276,7 @@ def decode(encoded: DataFrame, model: Compiled, ids: str = "piece_ids", text: st
     rest = [c for c in encoded.columns if c != ids and c.lower() != text.lower()]
     seen = encoded.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(f"`{ids}`").alias("_ids"))
     schema = T.StructType([seen.schema["_row"], T.StructField("_text", T.StringType())])
-    return seen.mapInArrow(run, schema).select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], F.col("_text").alias(text))
+    return seen.mapInArrow(lean(run), schema).select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], F.col("_text").alias(text))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

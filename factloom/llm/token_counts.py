@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from factloom.llm.common import table, text_blocks
+from factloom.llm.common import lean, table, text_blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -127,7 +127,7 @@ def token_counts(docs: DataFrame, begin: frozenset[str], within: frozenset[str],
     rest = [c for c in docs.columns if c != text and c.lower() not in {"n_words", "n_tokens"}]
     seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     schema = T.StructType([seen.schema["_row"], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return seen.mapInArrow(_counter(begin, within, unknown), schema).select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], "n_words", "n_tokens")
+    return seen.mapInArrow(lean(_counter(begin, within, unknown)), schema).select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], "n_words", "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm.common import fresh, stored, table, text_blocks
+from factloom.llm.common import fresh, lean, stored, table, text_blocks, trim
 
 #: Lengths of the n-grams, and bits of their hash.
 ORDERS, BITS = (3, 4, 5, 6, 7), 20
@@ -151,18 +151,19 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", doc_id: s
     clean, bad = n.get(0, 0), n.get(1, 0)
     if not clean or not bad:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((bad + 0.5) / (clean + 0.5))))
-    counts = train.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = train.mapInArrow(lean(_count), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + SMOOTH) / (bad + 2 * SMOOTH)) - F.log((F.col("clean") + SMOOTH) / (clean + 2 * SMOOTH))
     best = counts.filter(F.col("clean") + F.col("toxic") >= LEAST_DOCS).withColumn("r", ratio).orderBy(F.desc(F.abs("r") * F.sqrt(F.col("clean") + F.col("toxic"))), "bucket").limit(FEATURES)
     kept = sorted((x.bucket, x.r) for x in best.collect())
     buckets, r = np.array([k[0] for k in kept], np.int64), np.array([k[1] for k in kept])
-    rows = train.mapInArrow(_rows(buckets), "toxic int, x array<int>").collect()
+    rows = train.mapInArrow(lean(_rows(buckets)), "toxic int, x array<int>").collect()
     weights, bias = _regress([np.array(x.x, np.int64) for x in rows], np.array([x.toxic for x in rows], float), r)
     return Model(buckets, weights, bias)
 
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pa.set_memory_pool(pa.system_memory_pool())
         weights, wanted = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
         weights[model.buckets], wanted[model.buckets] = model.weights, True
         for column in batches:
@@ -170,6 +171,7 @@ def _scorer(model: Model):
             for first, end, text, bucket in features(column, wanted):
                 z[first:end] += np.bincount(text, weights[bucket], end - first)
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        trim()
 
     return F.arrow_udf(run, "double")
 
