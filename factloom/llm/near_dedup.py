@@ -28,8 +28,6 @@ SLOTS = BANDS * ROWS
 DEVIATIONS = 4.0
 #: Leaders of a bucket in the rounds for pairs that look alike; for all pairs at first, and how many times as many in the next rounds.
 FIRST_LEADERS, LEADERS, MORE_LEADERS = (4, 64), 1024, 16
-#: Buckets of more nodes are compared in so many parts.
-LARGE_BUCKET, PARTS = 128, 16
 #: Similarity from which documents are linked, in hundredths.
 PERCENT = 80
 #: Sets of this size and more run their few steps with a list of swaps, smaller ones with whole permutations.
@@ -261,13 +259,10 @@ def _settled(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataF
         once = F.col("key") == F.array_min(F.array_intersect("keys", "led_keys"))
         one_way = (F.col("nodes") > leaders) | (F.col("node") < F.col("leader"))
         wanted = (F.col("star") != F.col("leads")) & one_way & like & (_agreeing("_sketch", "led_sketch") >= agreeing) & once
-        large = F.col("nodes") > LARGE_BUCKET
         # leaders all of the main component need not meet its other nodes
         asked = members.filter((F.col("star") != F.col("main")) | (F.col("mains") < leaders)).drop("main", "mains")
-        whole_side = asked.withColumn("deal", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).join(held, "node")
-        dealt_side = first.withColumn("deal", F.when(large, F.pmod(F.xxhash64("leader"), F.lit(PARTS)).cast("int")).otherwise(0)).drop("nodes").join(led, "leader")
-        parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        met = whole_side.repartition(parts, "key", "deal").join(dealt_side.repartition(parts, "key", "deal"), ["key", "deal"]).filter(wanted).select(*_pair("node", "leader")).distinct()
+        # a bucket with many nodes is a skewed key of this join, whose larger side adaptive execution splits
+        met = asked.join(held, "node").join(first.drop("nodes").join(led, "leader"), "key").filter(wanted).select(*_pair("node", "leader")).distinct()
         met = stored(met.join(seen, ["a", "b"], "left_anti"), "pairs")
         if met.take(1):
             stars = components(stars.union(_verified(met, sets, percent)))
