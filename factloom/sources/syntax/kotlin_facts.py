@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from factloom.sources.syntax.facts import Facts, boolean_style, unique, upper_first
 from factloom.sources.syntax.kotlin import read
 from factloom.sources.syntax.tree import Lines, Node
@@ -15,15 +17,31 @@ def bare_type(text: str) -> str:
     return text.split("<", 1)[0].removesuffix("?").strip()
 
 
+_SPACES = {"property": "value", "fun": "function", "class": "type", "object": "type"}
+
+
+@dataclass(frozen=True)
+class Binding:
+    """A name's meaning in a scope. rank orders those of one scope; since: seen only by uses behind it."""
+
+    scope: Node
+    node: Node
+    space: str
+    how: str  # declared or parameter
+    rank: int
+    since: int
+    initial: bool  # a constructor parameter that is no property: unseen from member functions
+
+
 class KotlinFile:
-    """A file's tree with what its names mean. Each scope node gets tables of what it declares; a lookup goes outwards through them."""
+    """A file's tree with what its names mean."""
 
     def __init__(self, path: str, text: str):
         self.path, self.text = path, text
         self.tree, self.lines = read(text), Lines(text)
         self.package = self.tree.slots["package"]
         self.imports = {alias or p.rpartition(".")[2]: p for p, alias in self.tree.slots["imports"] if not p.endswith(".*")}
-        self.declared: dict[int, tuple[dict, dict, dict]] = {}
+        self.table: dict[tuple[str, str], list[Binding]] | None = None
 
     def at(self, offset: int) -> tuple[int, int]:
         return self.lines.at(offset)
@@ -50,54 +68,54 @@ class KotlinFile:
         owner = self.owner(node)
         return self.fqn(owner) if owner else None
 
-    def tables(self, scope: Node) -> tuple[dict, dict, dict]:
-        """What a scope declares itself: properties, functions and types, each by name in order."""
-        if (found := self.declared.get(id(scope))) is None:
-            found = ({}, {}, {})
-            for kid in scope.kids:
-                which = {"property": 0, "fun": 1, "class": 2, "object": 2}.get(kid.kind)
-                if which is not None and kid.name:
-                    found[which].setdefault(kid.name, []).append(kid)
-            self.declared[id(scope)] = found
-        return found
-
-    def declaration(self, scope: Node, which: int, name: str, use: Node) -> Node | None:
-        """In a block the last one before the use, elsewhere the first."""
-        found = self.tables(scope)[which].get(name, ())
-        if scope.kind == "block":
-            return next((x for x in reversed(found) if x.slots.get("offset", x.start) < use.start), None)
-        return found[0] if found and scope.kind in ("class", "object", "file") else None
-
-    def variable_type(self, use: Node, name: str) -> str | None:
-        in_member = False
-        for scope in use.up():
-            in_member |= scope.kind == "fun" and bool(scope.slots.get("member"))
-            params = [p for p in scope.slots.get("params", ()) if p.name == name]
-            if scope.kind == "class":
-                # constructor parameters that are no properties are unseen from member functions
-                params = [p for p in params if p.slots["keyword"] or not in_member]
-            held = self.declaration(scope, 0, name, use)
-            kind = held.slots["type"] if held else None
-            if kind is None and params and scope.kind != "constructor":
-                kind = params[0].slots["type"]
-            if kind is not None:
-                return kind
-        return None
-
-    def type_or_object(self, use: Node, name: str) -> str | None:
-        for scope in use.up():
-            if (found := self.declaration(scope, 2, name, use)) is not None:
-                return self.fqn(found)
-        return self.imports.get(name) or (self.qualify(name) if name[:1].isupper() else None)
+    def bindings(self) -> dict[tuple[str, str], list[Binding]]:
+        """All that the file binds, by space and name: one table, made in one pass."""
+        if self.table is None:
+            self.table = {}
+            for node in self.tree.walk():
+                space = _SPACES.get(node.kind)
+                if space and node.name and node.parent is not None and node.parent.kind in ("block", "class", "object", "file"):
+                    inner = node.parent.kind == "block"
+                    at = node.slots.get("offset", node.start)
+                    # of a block the last one before the use counts, elsewhere the first
+                    self._bind(Binding(node.parent, node, space, "declared", -at if inner else at, at if inner else -1, False))
+                for k, p in enumerate(node.slots.get("params", ()) if node.kind != "constructor" else ()):
+                    self._bind(Binding(node, p, "value", "parameter", k, -1, node.kind == "class" and not p.slots["keyword"]))
+        return self.table
+
+    def _bind(self, binding: Binding) -> None:
+        self.table.setdefault((binding.space, binding.node.name), []).append(binding)
+
+    def seen(self, use: Node, space: str, name: str, within: tuple[str, ...] | None = None) -> list[Binding]:
+        """What name may mean at use, the likeliest first: of each scope around it one declaration, then one parameter."""
+        depth, members = {}, []
+        for k, scope in enumerate(use.up()):
+            depth[id(scope)] = k
+            if scope.kind == "fun" and scope.slots.get("member"):
+                members.append(k)
+        held: dict[tuple[int, str], Binding] = {}
+        for b in self.bindings().get((space, name), ()):
+            k = depth.get(id(b.scope))
+            if k is None or b.since >= use.start or (within and b.scope.kind not in within) or (b.initial and any(m < k for m in members)):
+                continue
+            if (k, b.how) not in held or b.rank < held[k, b.how].rank:
+                held[k, b.how] = b
+        return [held[key] for key in sorted(held)]
+
+    def value_type(self, use: Node, name: str) -> str | None:
+        return next((t for b in self.seen(use, "value", name) if (t := b.node.slots["type"]) is not None), None)
+
+    def type_id(self, use: Node, name: str) -> str | None:
+        found = self.seen(use, "type", name)
+        choices = (self.fqn(found[0].node) if found else None, self.imports.get(name), self.qualify(name) if name[:1].isupper() else None)
+        return next((c for c in choices if c is not None), None)
 
     def qualify_type(self, text: str, use: Node) -> str:
         kind = bare_type(text)
         if kind in self.imports or "." in kind:
             return self.imports.get(kind, kind)
-        for owner in (x for x in use.up() if x.kind in _TYPES):
-            if nested := self.tables(owner)[2].get(kind):
-                return self.fqn(nested[0])
-        return self.qualify(kind)
+        nested = self.seen(use, "type", kind, _TYPES)
+        return self.fqn(nested[0].node) if nested else self.qualify(kind)
 
     def super_fqn(self, use: Node) -> str | None:
         owner = self.owner(use)
@@ -105,53 +123,50 @@ class KotlinFile:
         best = min(enumerate(supers), key=lambda s: (not s[1][1], s[0]), default=None)
         return self.qualify_type(best[1][0], use) if best else None
 
-    def returned_type(self, use: Node, name: str) -> str | None:
-        """What a call of name gives by the declaration nearest to it: null if that doesn't say."""
-        for scope in use.up():
-            if (found := self.declaration(scope, 1, name, use)) is not None:
-                return found.slots["type"]
-        return self.type_or_object(use, name)
-
-    def own_property_type(self, use: Node, name: str) -> str | None:
-        owner = self.owner(use)
-        if owner is None:
+    def receiver_type(self, use: Node, receiver: Node, called: bool) -> str | None:
+        """Whose member a use asks for: the first way open to this form of receiver that leads to a type."""
+        ways = (_CALLED if called else _READ).get(self._form(receiver), ("spelled",) if called else ())
+        return next((t for way in ways if (t := _WAYS[way](self, use, receiver)) is not None), None)
+
+    def _form(self, receiver: Node) -> str:
+        if receiver.kind != "qualified" or self.text[receiver.slots["receiver"].end :].lstrip()[:1] != ".":
+            return receiver.kind
+        first, last = receiver.slots["receiver"], receiver.slots.get("selector")
+        if first.kind == "this":
+            return "field" if last is not None and last.kind == "name" else "dotted"
+        return "dotted super" if first.kind == "super" else "dotted"
+
+    def _typed(self, use: Node, text: str | None) -> str | None:
+        return self.qualify_type(text, use) if text else None
+
+    def _returned(self, use: Node, call: Node) -> str | None:
+        """By the nearest function of that name, which may leave its type open; else the name is a type's."""
+        if not call.name:
             return None
-        for p in owner.slots["params"]:
-            if p.name == name and p.slots["keyword"]:
-                return p.slots["type"]
-        found = self.tables(owner)[0].get(name)
-        return found[0].slots["type"] if found else None
-
-    def receiver_of_call(self, call: Node, receiver: Node) -> str | None:
-        kind = receiver.kind
-        if kind == "this":
-            return self.owner_fqn(call)
-        if kind == "super":
-            return self.qualify_type(receiver.slots["qualifier"], call) if receiver.slots["qualifier"] else self.super_fqn(call)
-        if kind == "name":
-            held = self.variable_type(receiver, receiver.name)
-            return self.qualify_type(held, call) if held else self.type_or_object(call, receiver.name)
-        if kind == "call":
-            given = self.returned_type(receiver, receiver.name) if receiver.name else None
-            return self.qualify_type(given, call) if given else None
-        if kind == "qualified" and self.text[receiver.slots["receiver"].end :].lstrip()[:1] == ".":
-            first, last = receiver.slots["receiver"], receiver.slots.get("selector")
-            if first.kind == "super":
-                return None
-            if first.kind == "this" and last is not None and last.kind == "name":
-                held = self.own_property_type(last, last.name)
-                return self.qualify_type(held, call) if held else None
-        return self.qualify_type(self.source(receiver), call)
-
-    def receiver_of_member(self, access: Node, receiver: Node) -> str | None:
-        if receiver.kind == "this":
-            return self.owner_fqn(access)
-        if receiver.kind == "super":
-            return self.super_fqn(access)
-        if receiver.kind == "name":
-            held = self.variable_type(receiver, receiver.name) or self.type_or_object(receiver, receiver.name)
-            return self.qualify_type(held, access) if held else None
-        return None
+        found = self.seen(call, "function", call.name)
+        return self._typed(use, found[0].node.slots["type"] if found else self.type_id(call, call.name))
+
+    def _field(self, use: Node, access: Node) -> str | None:
+        name = access.slots["selector"]
+        owner = self.owner(name)
+        own = [b for b in self.bindings().get(("value", name.name), ()) if b.scope is owner and not b.initial]
+        best = min(own, key=lambda b: (b.how == "declared", b.rank), default=None)
+        return self._typed(use, best.node.slots["type"]) if best else None
+
+
+_WAYS = {
+    "own": lambda f, use, receiver: f.owner_fqn(use),
+    "above": lambda f, use, receiver: f.super_fqn(use),
+    "named above": lambda f, use, receiver: f._typed(use, receiver.slots["qualifier"]),
+    "value": lambda f, use, receiver: f._typed(use, f.value_type(receiver, receiver.name)),
+    "type": lambda f, use, receiver: f.type_id(use, receiver.name),
+    "returned": KotlinFile._returned,
+    "field": KotlinFile._field,
+    "spelled": lambda f, use, receiver: f.qualify_type(f.source(receiver), use),
+}
+#: By the form of a receiver, the ways to its type in their order: of calls (all other forms count as spelled), and of other members.
+_CALLED = {"this": ("own",), "super": ("named above", "above"), "name": ("value", "type"), "call": ("returned",), "field": ("field",), "dotted super": ()}
+_READ = {"this": ("own",), "super": ("above",), "name": ("value", "type")}
 
 
 def _jvm_name(function: Node) -> str | None:
@@ -196,7 +211,7 @@ def kotlin_references(f: KotlinFile, out: Facts) -> None:
         outer = n.parent
         if outer is not None and outer.kind == "qualified" and outer.slots.get("selector") is n:
             receiver = outer.slots["receiver"]
-            if owner := f.receiver_of_call(n, receiver):
+            if owner := f.receiver_type(n, receiver, True):
                 out.reference(at, f"{owner}#{name}", name, "call", f.source(receiver), arity=arity)
             continue
         choices, owner, above = [], f.owner_fqn(n), f.super_fqn(n)
@@ -214,15 +229,15 @@ def kotlin_references(f: KotlinFile, out: Facts) -> None:
         if selector is None or selector.kind != "name":
             continue
         receiver, name, write = n.slots["receiver"], selector.name, bool(n.slots.get("write"))
-        if owner := f.receiver_of_member(n, receiver):
+        if owner := f.receiver_type(n, receiver, False):
             boolean = boolean_style(name)
             names = [name, f"get{upper_first(name)}", name if boolean else f"is{upper_first(name)}"]
             names += [f"set{name[2:] if boolean else upper_first(name)}"] if write else []
             out.reference(f.at(selector.start), f"{owner}#{name}", name, "member-write" if write else "member", f.source(receiver), unique(f"{owner}#{x}" for x in names))
 
 
-def _composable(node: Node) -> bool:
-    return node.kind == "fun" and any(n == COMPOSABLE for n, _ in node.slots["annotations"])
+def _marked(node: Node, annotation: str) -> bool:
+    return node.kind == "fun" and any(n == annotation for n, _ in node.slots["annotations"])
 
 
 def _wraps(call: Node, rules) -> bool:
@@ -244,14 +259,17 @@ def call_at_line(f: KotlinFile, line: int) -> Node:
     return found[0]
 
 
-def kotlin_sites(f: KotlinFile, out: Facts, rules=(), containers=CONTAINERS, disablers=DISABLERS) -> None:
-    """Calls within composable functions, with the containers around them, innermost first."""
+def kotlin_sites(f: KotlinFile, out: Facts, rules=(), containers=CONTAINERS, disablers=DISABLERS, annotation: str = COMPOSABLE) -> None:
+    """Calls within functions that bear the annotation, with the containers around them, innermost first."""
     containers, disablers = _with_aliases(f, containers), _with_aliases(f, disablers)
+    local: dict[int, set[str]] = {}
     for call in (n for n in f.tree.walk() if n.kind == "call" and n.name):
-        enclosing = next((x for x in call.up() if _composable(x)), None)
+        enclosing = next((x for x in call.up() if _marked(x, annotation)), None)
         if enclosing is None or call.name in containers or call.name in disablers:
             continue
-        if any(x.kind == "fun" and x is not enclosing and x.name == call.name and not _composable(x) for x in enclosing.walk()):
+        if id(enclosing) not in local:
+            local[id(enclosing)] = {x.name for x in enclosing.walk() if x.kind == "fun" and x is not enclosing and x.name and not _marked(x, annotation)}
+        if call.name in local[id(enclosing)]:
             continue
         found, disable, by_lambda = [], None, False
         for node in call.up():

@@ -47,7 +47,7 @@ def settings_includes(text: str) -> list[str]:
 
 
 def project_dependencies(text: str) -> list[str]:
-    return unique(re.findall(GRADLE_DEPENDENCY + r"\s*\)", text))
+    return unique(re.findall(GRADLE_DEPENDENCY, text))
 
 
 def module_folder(root: Path, module: str) -> Path:
