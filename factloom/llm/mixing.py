@@ -1,20 +1,23 @@
 """Mixing sources to target weights.
 
 Sizes are summed by source, targets and with them repetition rates derived, and each document is emitted floor(rate) times
-plus once more with the probability of the rate's fraction, by a hash of its id: a rerun takes the same documents. The hash
-holds DRAWS draws; a source goes by the one whose words come nearest to its target, which matters where it has few documents.
+plus once more with the probability of the rate's fraction. That one draw is a hash of a seed and the document's id, so that
+a rerun takes the same documents, and it is independent of the size: long and short documents have the same chance. A source's
+words therefore spread around its target by sqrt(f * (1 - f) * sum of squared sizes) for the fraction f.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm.common import fresh, stored, table, word_count
+from factloom.llm.common import stored, table, word_count
 from factloom.operators.shared import global_row_number
 
 #: Weights of the sources in their order, repeated; the share of all sizes that they divide (in halves); the most repetitions.
 WEIGHTS, SHARE_HALVES, MOST = (3, 1, 2), 3, 2
-SEED, DRAWS = "mix-1", 8
+#: Columns that mix adds.
+MADE = ("_size", "_source_size", "_target", "_copies", "_taken")
+SEED = "mix-1"
 
 
 def targets(sizes: DataFrame, source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS, share_halves: int = SHARE_HALVES, most: int = MOST) -> DataFrame:
@@ -43,35 +46,34 @@ def targets(sizes: DataFrame, source: str = "source", size: str = "size", weight
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
-    """docs with _size (words), _source_size, _target, _copies and _taken (words the mix takes).
+    """docs with _size (words), _source_size, _target, _copies and _taken (words the mix takes); columns so named are replaced.
 
     A null text has no words; null is a source of its own, the last. Copies of a row: floor(rate), plus one where the hash
     of seed and id falls below the rate's fraction; repeated ids are drawn alike, a null id as an empty one. A source
     without words has rate 0. An empty table gives an empty one.
     """
-    column, ident = F.col(f"`{source}`"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
-    size = word_count(F.col(f"`{text}`"))
-    sized = stored(docs.select(column.alias("source"), ident.alias("id"), size.alias("size")), "sizes")
-    of = targets(sized)
+    rest = [c for c in docs.columns if c.lower() not in MADE]
+    held = F.struct(*[F.col(f"`{c}`") for c in rest])
+    sized = docs.select(held.alias("row"), F.col(f"`{source}`").alias("of"), F.col(f"`{doc_id}`").cast("string").alias("id"), word_count(F.col(f"`{text}`")).alias("size"))
+    by_source = stored(targets(sized, "of", "size").withColumnRenamed("_source", "by"), "targets")
+    met = sized.join(by_source, F.col("of").eqNullSafe(F.col("by")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    copies = F.floor(rate) + (draw(F.col("id"), seed) < rate - F.floor(rate)).cast("long")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in rest]
+    out = met.select(*kept, F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.alias("_copies"))
+    return out.withColumn("_taken", F.col("_size") * F.col("_copies"))
 
-    def copies(ident: F.Column, draw: F.Column) -> F.Column:
-        digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), ident), 256), 8 * draw + 1, F.lit(8))
-        return F.floor(rate) + (F.conv(digits, 16, 10).cast("double") / float(1 << 32) < rate - F.floor(rate)).cast("long")
 
-    met = sized.join(of, F.col("source").eqNullSafe(F.col("_source")))
-    sums = met.groupBy("_source", "target").agg(*[F.sum(F.col("size") * copies(F.col("id"), F.lit(k))).alias(f"d{k}") for k in range(DRAWS)])
-    off = F.array(*[F.struct(F.abs(F.col(f"d{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)])
-    best = stored(sums.select(F.col("_source").alias("_of"), F.array_min(off)["k"].alias("_draw")), "draws")
-    of = stored(of.join(best, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of"), "rates")
-    out = docs.withColumn("_size", size).join(of, column.eqNullSafe(F.col("_source")))
-    out = out.withColumn("_copies", copies(ident, F.col("_draw"))).withColumn("_taken", F.col("_size") * F.col("_copies"))
-    return out.withColumnsRenamed({"source_size": "_source_size", "target": "_target"}).drop("_source", "_draw")
+def draw(ident: F.Column, seed: str | F.Column = SEED) -> F.Column:
+    """A number from 0 up to 1 (not 1 itself), by the first 32 bits of a hash of seed and id."""
+    seed = F.lit(seed) if isinstance(seed, str) else seed
+    digits = F.substring(F.sha2(F.concat(seed, F.lit(":"), F.coalesce(ident, F.lit(""))), 256), 1, 8)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 32)
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """The rows of docs as often as the mix takes them, with their columns as they are."""
-    names = {c: fresh(docs, f"_c{i}") for i, c in enumerate(docs.columns)}
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     out = mix(plain, names[doc_id], names[text], names[source], seed).filter("_copies > 0")
     return out.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*[F.col(n).alias(c) for c, n in names.items()])
@@ -95,8 +97,7 @@ f AS (SELECT coalesce(max(caps) FILTER (WHERE 4 * source_size * (weights - full_
 t AS (SELECT p.source, p.source_size, CASE WHEN p.k <= f.k THEN (2 * p.source_size)::DOUBLE
              ELSE ((3 * p.total - 2 * f.caps) * p.weight)::DOUBLE / (2.0 * (p.weights - f.full_weight))::DOUBLE END AS target FROM p, f),
 r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-             sha256('mix-1:' || coalesce(d.doc_id::VARCHAR, '')) AS h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT r.*, k, size * (floor(rate)::BIGINT + (('0x' || substr(h, 8 * k::INT + 1, 8))::BIGINT::DOUBLE / 4294967296.0 < rate - floor(rate))::BIGINT) AS taken FROM r, range(8) x(k)),
-b AS (SELECT source, arg_min(k, (off, k)) AS k FROM (SELECT source, k, abs(sum(taken)::DOUBLE - any_value(target)) AS off FROM c GROUP BY source, k) GROUP BY source)
-SELECT doc_id, size, source_size, target, taken::BIGINT AS taken FROM c JOIN b ON c.k = b.k AND c.source IS NOT DISTINCT FROM b.source
+             sha256('mix-1:' || coalesce(d.doc_id::VARCHAR, '')) AS h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * (floor(rate)::BIGINT + (('0x' || substr(h, 1, 8))::BIGINT::DOUBLE / 4294967296.0 < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM r
 """

@@ -290,6 +290,25 @@ def test_mixing(spark):
     assert M.mix(empty(spark)).count() == 0
 
 
+def test_every_document_has_the_chance_of_the_fraction(spark):
+    rows = [(0, "one two three", "alone"), *((i, "w " * (100 if i == 1 else 10), "few") for i in range(1, 6)), *((i, "w " * 8, "many") for i in range(6, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = M.mix(docs).select("doc_id", "_target", "_source_size").withColumn("rate", F.col("_target") / F.col("_source_size"))
+    fraction = {r.doc_id: r.rate - int(r.rate) for r in seen.collect()}
+    seeds = spark.range(500).select(F.concat(F.lit("s"), "id").alias("seed"))
+    drawn = docs.crossJoin(seeds).select("doc_id", "seed", M.draw(F.col("doc_id").cast("string"), F.col("seed")).alias("x"))
+    by = {}
+    for r in drawn.collect():
+        by.setdefault(r.doc_id, {})[r.seed] = r.x
+    for i, f in fraction.items():
+        share = sum(x < f for x in by[i].values()) / 500
+        assert abs(share - f) <= 4.5 * (max(f * (1 - f), 1e-4) / 500) ** 0.5, i
+    for seed in ("s0", "s7"):  # and what the mix takes is just that draw
+        for r in M.mix(docs, seed=seed).collect():
+            rate = r._target / r._source_size
+            assert r._copies == int(rate) + (by[r.doc_id][seed] < rate - int(rate))
+
+
 def test_mixed_words_come_near_targets(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 50).cast("int"))).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
     for r in M.mix(docs).groupBy("source", "_target").agg(F.sum("_taken").alias("t")).collect():
