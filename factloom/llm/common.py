@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.operators.shared import written as stored  # noqa: F401  (for the operators)
+from factloom.operators.shared import forget, written as stored  # noqa: F401  (for the operators)
 
 #: Bytes of text that a Python worker turns into arrays at once; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -45,6 +46,20 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, most: int = BLOCK_BYTES) -> Iterator[None]:
+    """What is written in here goes to Python in batches of at most so many rows and bytes (or one row); settings are put back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(most)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def trim() -> None:
     import ctypes
     import gc

@@ -1,33 +1,40 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full shingle sets, union-find.
 
 Documents with the same shingle set are one node. A node's signature has BANDS x ROWS slots; nodes that agree in all slots
-of a band meet in a bucket. In a bucket each node is held against one leader, not against all: what links to it needs no
-more comparisons among itself. Where a bucket then still holds several components, nodes of its largest one are held
-against the nodes outside that one (of any, where the largest is small), sixteen times as many each round, until every pair
-of nodes of different components that meets in a bucket has been compared. No cap ends this early. A comparison looks at
-four bits of each slot first: pairs that these show to be alike go first, as they join components; then all others that
-these do not rule out. What is left of a pair is verified on full sets.
+of a band meet in a bucket. What links a bucket's nodes is found in three steps:
+
+1. Chance meetings go: a node stays in a bucket of up to BLOCK nodes only if its sketch (four bits of each slot) and its size
+   leave a partner possible there.
+2. Rounds: in each bucket that holds several components, one node of the component with the smallest root leads, and the
+   others are asked about it; each node takes the few of its leaders that look most alike, is held against them on full
+   sets, and union-find joins what is linked. Nodes of the leading component ask nothing any more: a group of copies costs a
+   few comparisons a node, whatever its size. Rounds end when they find few links.
+3. What is still apart in a bucket is compared whole, in blocks of nodes: a row is a pair of blocks, not of nodes. Sketches
+   rule pairs out first, full sets decide on all others. No cap ends this early.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from factloom.llm.common import _IS_SPACE, fresh, lean, mix64, stored, table, text_blocks
-from factloom.llm.components import components
+from factloom.llm.common import _IS_SPACE, forget, fresh, lean, mix64, small_batches, stored, table, text_blocks
+from factloom.llm.components import components, forest
 
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 1.2e-6.
 BANDS, ROWS = 45, 6
 SLOTS = BANDS * ROWS
-#: Pairs are ruled out whose slots agree so many standard errors less often than those of the threshold: 3e-5 of those right at it.
-DEVIATIONS = 4.0
-#: Leaders of a bucket in the rounds for pairs that look alike; for all pairs at first, and how many times as many in the next rounds.
-FIRST_LEADERS, LEADERS, MORE_LEADERS = (4, 64), 1024, 16
+#: Probability with which a sketch may rule out a pair right at the threshold (less above it): a twelfth of what banding loses.
+MISSED = 1e-7
+#: Leaders that a node is held against in a round; rounds go on while one in so many asking nodes finds a link.
+ASKED, WORTH = 2, 8
+#: Nodes of a block, and shingles of its sets: what two blocks hold fits any task.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Similarity from which documents are linked, in hundredths.
 PERCENT = 80
 #: Sets of this size and more run their few steps with a list of swaps, smaller ones with whole permutations.
@@ -77,7 +84,8 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: int) -> list[np.n
         if b - a >= words:
             out.append(np.unique(runs[a : b - words + 1]))
         elif b > a:
-            whole = (hashes[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64) if b - a <= 64 else sum((hashes[a + k] * _PLACE[k % 64] + np.uint64(k // 64) for k in range(b - a)), np.uint64(0))
+            k = np.arange(b - a)
+            whole = (hashes[a:b] * _PLACE[k % 64] + (k // 64).astype(np.uint64)).sum(dtype=np.uint64)
             out.append(mix64(np.array([whole + np.uint64(b - a)], np.uint64)))
         else:
             out.append(hashes[:0])
@@ -161,52 +169,67 @@ def sketches(h: np.ndarray) -> np.ndarray:
 
 def _agreeing(a: str, b: str) -> F.Column:
     """How many slots agree in the sketches a and b."""
-    differ = []
+    total = F.lit(SLOTS)
     for i in range(-(-SLOTS // 16)):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         z = y.bitwiseOR(F.shiftrightunsigned(y, 2))
-        differ.append(F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111))))
-    total = differ[0]
-    for d in differ[1:]:
-        total = total + d
-    return F.lit(SLOTS) - total
+        total = total - F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
-def _least_agreeing(percent: int, deviations: float) -> int:
+def least_agreeing(percent: int, missed: float = MISSED) -> int:
+    """The fewest agreeing slots with which a pair is held to be possible: a pair at the threshold has fewer with at most that probability."""
     p = percent / 100 + (1 - percent / 100) / 16
-    return int(np.floor(SLOTS * p - deviations * np.sqrt(SLOTS * p * (1 - p))))
+    if p >= 1:
+        return SLOTS
+    below = 0.0
+    for k in range(SLOTS + 1):
+        below += math.exp(math.lgamma(SLOTS + 1) - math.lgamma(k + 1) - math.lgamma(SLOTS - k + 1) + k * math.log(p) + (SLOTS - k) * math.log(1 - p))
+        if below > missed:
+            return k
+    return SLOTS
+
+
+def possible(sizes: np.ndarray, shown: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int, least: int) -> np.ndarray:
+    """Which pairs (i, j) of nodes can be linked, by their sizes and sketches."""
+    ok = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
+    at = np.flatnonzero(ok)
+    for lo in range(0, len(at), _STEP):
+        some = at[lo : lo + _STEP]
+        x = shown[i[some]] ^ shown[j[some]]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        x &= np.uint64(0x1111111111111111)
+        ok[some] = SLOTS - np.bitwise_count(x).sum(1, dtype=np.int64) >= least
+    return ok
 
 
 def _name(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _rest(batch: pa.RecordBatch) -> tuple[list, list[str]]:
-    keep = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
-    return [batch.column(i) for i in keep], [batch.schema.names[i] for i in keep]
-
-
 def _signed(words: int, least: int):
-    """least: the smallest set that can be like a different one."""
+    """least: the smallest set that can be like a different one. Gives a batch for each block of texts, so that little is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, bands, drawn = [], [], [], []
-            for _, _, offsets, data in text_blocks(batch.column("_text"), 1 << 20):
+            rest = [n for n in batch.schema.names if n != "_text"]
+            for first, end, offsets, data in text_blocks(batch.column("_text"), 1 << 20):
                 sets = shingle_sets(offsets, data, words)
-                large = [i for i, s in enumerate(sets) if len(s) >= least]
                 keys, shown = [None] * len(sets), [None] * len(sets)
-                if large:
+                if large := [i for i, s in enumerate(sets) if len(s) >= least]:
                     h = signatures([sets[i] for i in large])
                     for i, k, d in zip(large, band_keys(h), sketches(h), strict=True):
-                        keys[i], shown[i] = k, d
-                sizes += [len(s) for s in sets]
-                names += [_name(s) if len(s) else None for s in sets]
-                bands += keys
-                drawn += shown
-            columns, labels = _rest(batch)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(drawn, pa.list_(pa.int64()))], [*labels, "n_shingles", "_set", "_bands", "_sketch"])
+                        keys[i], shown[i] = k, d.tobytes()
+                made = {
+                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                    "_set": pa.array([_name(s) if len(s) else None for s in sets], pa.binary()),
+                    "_bands": pa.array(keys, pa.list_(pa.int64())),
+                    "_sketch": pa.array(shown, pa.binary()),
+                }
+                held = {n: batch.column(n).slice(first, end - first) for n in rest}
+                yield pa.RecordBatch.from_pydict(held | made)
 
     return run
 
@@ -221,56 +244,151 @@ def _whole_sets(words: int):
     return run
 
 
+def _words_of(sketch: str) -> F.Column:
+    """A sketch's words as numbers (their order of bytes does not matter, agreement being counted by bits)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(-(-SLOTS // 16) - 1)), lambda i: F.conv(F.hex(F.substring(F.col(sketch), i * 8 + 1, 8)), 16, -10).cast("long"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     sizes = F.size("sa") + F.size("sb")
-    return pairs.join(one, "a").join(two, "b").filter(100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))).filter(100 * shared >= percent * (sizes - shared)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").filter(100 * shared >= percent * (sizes - shared)).select("a", "b")
+
+
+def _partners(percent: int, least: int):
+    """Of small buckets, the nodes with a possible partner there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("held")
+            first = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+            nodes, sizes, shown = _unpacked(held.values)
+            keep = np.zeros(len(nodes), bool)
+            counts = np.diff(first)
+            for m in np.unique(counts[counts > 1]).tolist():
+                i, j = np.triu_indices(m, 1)
+                of = first[:-1][counts == m]
+                for lo in range(0, len(of), step := max(1, _STEP // len(i))):
+                    at = of[lo : lo + step, None]
+                    a, b = (at + i).ravel(), (at + j).ravel()
+                    ok = possible(sizes, shown, a, b, percent, least)
+                    keep[a[ok]] = keep[b[ok]] = True
+            keys = np.repeat(batch.column("key").to_numpy(), counts)[keep[first[0] : first[-1]]] if len(nodes) else []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes[keep], pa.int64())], ["key", "node"])
 
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return run
 
 
-def _settled(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataFrame, sets: DataFrame, percent: int, leaders: int, agreeing: int, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """stars and seen, after pairs of different components that meet in a bucket and agree in so many slots were compared.
+def _unpacked(held: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, sizes and sketches of packed nodes."""
+    column = dict(zip(held.type.names, held.flatten(), strict=True)) if hasattr(held.type, "names") else {held.type.field(k).name: c for k, c in enumerate(held.flatten())}
+    raw = b"".join(column["shown"].to_pylist())
+    return column["node"].to_numpy(), column["n"].to_numpy(), np.frombuffer(raw, np.uint64).reshape(len(held), -1)
 
-    whole: all such pairs, in rounds; otherwise those of one round of leaders.
-    """
-    first = None
-    while True:
-        named = members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left").select("key", "node", F.coalesce("star", "node").alias("star"))
-        largest = named.groupBy("key", "star").count().groupBy("key").agg(F.max(F.struct("count", "star")).alias("m"), F.count("*").alias("stars"), F.sum("count").alias("nodes"))
-        unsettled = named.join(largest.filter("stars > 1").select("key", "nodes", F.col("m.star").alias("main"), F.col("m.count").alias("mains")), "key")
-        if first is not None:  # those have been held against all in their bucket
-            unsettled = unsettled.join(first.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
-        members = stored(unsettled, "unsettled")
-        most = members.agg(F.max("nodes")).first()[0]
-        if most is None:
-            return stars, seen
-        part = F.when(F.col("nodes") <= leaders, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(leaders)))
-        first = members.filter((F.col("star") == F.col("main")) | (F.col("mains") < leaders)).groupBy("key", part.alias("part")).agg(F.min("node").alias("node"))
-        first = stored(first.select("key", "node").join(members, ["key", "node"]).select("key", "nodes", F.col("node").alias("leader"), F.col("star").alias("leads")), "leaders")
-        # a pair that meets in several buckets (of BANDS at most) is made in one of them
-        led = first.groupBy("leader").agg(F.collect_list("key").alias("led_keys")).join(about.select(F.col("node").alias("leader"), F.col("n").alias("size"), F.col("_sketch").alias("led_sketch")), "leader")
-        held = members.groupBy("node").agg(F.collect_list("key").alias("keys")).join(about, "node")
-        like = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
-        once = F.col("key") == F.array_min(F.array_intersect("keys", "led_keys"))
-        one_way = (F.col("nodes") > leaders) | (F.col("node") < F.col("leader"))
-        wanted = (F.col("star") != F.col("leads")) & one_way & like & (_agreeing("_sketch", "led_sketch") >= agreeing) & once
-        # leaders all of the main component need not meet its other nodes
-        asked = members.filter((F.col("star") != F.col("main")) | (F.col("mains") < leaders)).drop("main", "mains")
-        # a bucket with many nodes is a skewed key of this join, whose larger side adaptive execution splits
-        met = asked.join(held, "node").join(first.drop("nodes").join(led, "leader"), "key").filter(wanted).select(*_pair("node", "leader")).distinct()
-        met = stored(met.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if met.take(1):
-            stars = components(stars.union(_verified(met, sets, percent)))
-            seen = seen.union(met)
-        if not whole or most <= leaders:
-            return stars, seen
-        members = members.select("key", "node")
-        leaders *= MORE_LEADERS
+
+def _compared(percent: int, least: int):
+    """Of pairs of blocks: the possible pairs of nodes of different components, as places in a list of the nodes that they take."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                one, two = batch.column("one")[k].values, batch.column("two")[k].values
+                same = two is None or not len(two)
+                na, sa, da = _unpacked(one)
+                star = one.field("star").to_numpy()
+                if same:
+                    i, j = np.triu_indices(len(na), 1)
+                else:
+                    nb, sb, db = _unpacked(two)
+                    i, j = (x.ravel() for x in np.indices((len(na), len(nb))))
+                    j = j + len(na)
+                    na, sa, da = np.concatenate([na, nb]), np.concatenate([sa, sb]), np.concatenate([da, db])
+                    star = np.concatenate([star, two.field("star").to_numpy()])
+                apart = star[i] != star[j]
+                i, j = i[apart], j[apart]
+                ok = possible(sa, da, i, j, percent, least)
+                i, j = i[ok], j[ok]
+                if len(i):
+                    taken, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                    pairs = at.reshape(2, -1).astype(np.int16)
+                    yield pa.RecordBatch.from_arrays([pa.array([na[taken]], pa.list_(pa.int64())), pa.array([pairs.tobytes()], pa.binary())], ["nodes", "pairs"])
+
+    return run
+
+
+def _linked(percent: int):
+    """Of lists of nodes with their sets, and places of pairs: a forest of the links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                nodes = batch.column("nodes")[k].values.to_numpy()
+                held = batch.column("held")[k].values
+                at = {n: x for x, n in enumerate(held.field("node").to_pylist())}
+                sets = [held.field("s")[at[n]].values.to_numpy() for n in nodes.tolist()]
+                sizes = np.array([len(s) for s in sets])
+                found: list[tuple[int, int]] = []
+                pairs = np.frombuffer(batch.column("pairs")[k].as_py(), np.int16).reshape(2, -1)
+                for i in np.unique(pairs[0]).tolist():
+                    others = pairs[1][pairs[0] == i].tolist()
+                    shared = np.add.reduceat(np.isin(np.concatenate([sets[j] for j in others]), sets[i]).astype(np.int64), np.cumsum([0, *(sizes[j] for j in others[:-1])]))
+                    found += [(i, j) for j, x in zip(others, shared.tolist(), strict=True) if 100 * x >= percent * (sizes[i] + sizes[j] - x)]
+                if found:
+                    a, b = forest(nodes[[i for i, _ in found]], nodes[[j for _, j in found]])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _starred(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """members with each node's component: the smallest node of it."""
+    return members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left").select("key", "node", F.coalesce("star", "node").alias("star"))
+
+
+def _unsettled(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Those of buckets that hold several components."""
+    named = _starred(members, stars)
+    several = named.groupBy("key").agg(F.min("star").alias("lo"), F.max("star").alias("hi")).filter("lo < hi").select("key")
+    return stored(named.join(several, "key"), "unsettled")
+
+
+def _round(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataFrame | None, sets: DataFrame, percent: int, least: int, number: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Components, pairs asked about so far, and how many nodes asked and how many links were found."""
+    named = _unsettled(members, stars)
+    lead = named.groupBy("key").agg(F.min(F.struct("star", F.xxhash64("node", "key", F.lit(number)).alias("h"), "node")).alias("l"))
+    lead = stored(lead.select("key", F.col("l.node").alias("leader"), F.col("l.star").alias("leads")), "leaders")
+    met = named.join(lead, "key").filter("star <> leads").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    if seen is not None:
+        met = met.join(seen, ["a", "b"], "left_anti")
+    one, two = (about.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), _words_of("_sketch").alias(f"s{x}")) for x in "ab")
+    like = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    alike = met.join(one, "a").join(two, "b").filter(like).select("a", "b", _agreeing("sa", "sb").alias("same")).filter(F.col("same") >= least)
+    best = alike.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "b")), False), 1, ASKED).alias("l"))  # BANDS at most
+    asked = stored(best.select("a", F.explode("l.b").alias("b")), "asked")
+    links = stored(_verified(asked, sets, percent), "links")
+    n, found = asked.select("a").distinct().count(), links.count()
+    if found:
+        stars = components(stars.select("a", "b").union(links))
+    return stars, asked if seen is None else seen.union(asked), n, found
+
+
+def _rest_of_links(members: DataFrame, about: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """Links between components that rounds left apart: all possible pairs of each bucket, in blocks."""
+    left = _unsettled(members, stars).join(about.select("node", "n", F.col("_sketch").alias("shown")), "node")
+    sizes = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    packed = left.join(sizes, "key").groupBy("key", part.alias("part"), "parts").agg(F.collect_list(F.struct("node", "star", "n", "shown")).alias("held"))  # about BLOCK nodes
+    blocks = stored(packed, "blocks")
+    none = F.array().cast(blocks.schema["held"].dataType)
+    within = blocks.select(F.col("held").alias("one"), none.alias("two"))
+    large = blocks.filter("parts > 1")
+    between = large.alias("x").join(large.alias("y"), F.expr("x.key = y.key and x.part < y.part")).select(F.col("x.held").alias("one"), F.col("y.held").alias("two"))
+    found = within.union(between).mapInArrow(lean(_compared(percent, least)), "nodes array<long>, pairs binary")
+    found = stored(found.withColumn("at", F.monotonically_increasing_id()), "possible")
+    held = found.select("at", F.explode("nodes").alias("node")).join(sets, "node").groupBy("at").agg(F.collect_list(F.struct("node", "s")).alias("held"))
+    return found.join(held, "at").select("nodes", "pairs", "held").mapInArrow(lean(_linked(percent)), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,23 +402,37 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
     rest = [c for c in docs.columns if c != text and c.lower() not in {"n_shingles", "component_id", "kept"}]
     least = max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 62
     ids = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    schema = ids.drop("_text").schema.add("n_shingles", "long").add("_set", "binary").add("_bands", T.ArrayType(T.LongType())).add("_sketch", T.ArrayType(T.LongType()))
-    signed = stored(ids.mapInArrow(lean(_signed(words, least)), schema), "signed")
+    schema = ids.drop("_text").schema.add("n_shingles", "long").add("_set", "binary").add("_bands", T.ArrayType(T.LongType())).add("_sketch", "binary")
+    possible_from = least_agreeing(percent)
+    with small_batches(docs.sparkSession):
+        signed = stored(ids.mapInArrow(lean(_signed(words, least)), schema), "signed")
     classes = signed.filter("_set is not null and _id is not null").groupBy("_set").agg(F.min("_id").alias("least"), F.max("n_shingles").alias("n"), F.first(F.struct("_bands", "_sketch")).alias("_f"))
     classes = stored(classes.select("_set", "least", "n", "_f.*").withColumn("node", F.monotonically_increasing_id()), "classes")
-    members = classes.select("node", "n", F.explode("_bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
-    members = stored(members.join(buckets, "key"), "members")
-    wanted = members.select("node").distinct().join(classes.select("node", "least", "_set"), "node")
+    members = classes.select("node", F.explode("_bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1")
+    met = stored(members.join(buckets, "key"), "met")
+    large = met.filter(F.col("nodes") > BLOCK).select("key", "node")
+    packed = met.filter(F.col("nodes") <= BLOCK).join(classes.select("node", "n", F.col("_sketch").alias("shown")), "node")
+    packed = packed.groupBy("key").agg(F.collect_list(F.struct("node", "n", "shown")).alias("held"))  # BLOCK at most
+    with small_batches(docs.sparkSession):
+        members = stored(packed.mapInArrow(lean(_partners(percent, possible_from)), "key long, node long").union(large), "members")
+    wanted = members.select("node").distinct().join(classes.select("node", "least", "_set", "n", "_sketch"), "node")
     wanted = stored(wanted, "wanted")
+    forget(met)
     texts = ids.select("_id", "_text").join(wanted.select(F.col("least").alias("_id")).distinct(), "_id", "left_semi").select("_text")
-    sets = stored(texts.mapInArrow(lean(_whole_sets(words)), "_set binary, s array<long>").join(wanted, "_set").select("node", "s").dropDuplicates(["node"]), "sets")
-
-    seen = stored(members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("leader")).select(*_pair("node", "leader")).distinct(), "pairs")
-    stars = components(_verified(seen, sets, percent))
-    alike, possible = _least_agreeing(percent, 0), _least_agreeing(percent, DEVIATIONS)
-    for leaders, agreeing, whole in (*((n, alike, False) for n in FIRST_LEADERS), (LEADERS, possible, True)):
-        stars, seen = _settled(members.select("key", "node"), classes.select("node", "n", "_sketch"), stars, seen, sets, percent, leaders, agreeing, whole)
+    sets = texts.mapInArrow(lean(_whole_sets(words)), "_set binary, s array<long>").join(wanted.select("_set", "node"), "_set").select("node", "s").dropDuplicates(["node"])
+    with small_batches(docs.sparkSession):
+        sets = stored(sets, "sets")
+
+    about = wanted.select("node", "n", "_sketch")
+    stars, seen, number, asked, found = docs.sparkSession.createDataFrame([], "a long, b long"), None, 0, 1, 1
+    while found and WORTH * found >= asked:
+        stars, seen, asked, found = _round(members, about, stars, seen, sets, percent, possible_from, number)
+        number += 1
+    if asked:
+        with small_batches(docs.sparkSession):
+            links = stored(_rest_of_links(members, about, stars, sets, percent, possible_from), "links")
+        stars = components(stars.select("a", "b").union(links))
     starred = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), "b").distinct())
     smallest = starred.join(classes.select(F.col("node").alias("a"), "least"), "a").groupBy("b").agg(F.min("least").alias("component_id"))
     of = classes.select("node", "_set", "least").join(starred.join(smallest, "b").select(F.col("a").alias("node"), "component_id"), "node", "left").select(F.col("_set").alias("_of"), F.coalesce("component_id", "least").alias("component_id"))

@@ -108,19 +108,61 @@ def test_near_dedup_of_chains(spark):
     check_near(spark, spark.createDataFrame(near_copies(1), "doc_id long, text string"), 2)
 
 
-def test_large_buckets_take_rounds(spark, monkeypatch):
-    for name, value in {"FIRST_LEADERS": (2,), "LEADERS": 3, "MORE_LEADERS": 2}.items():
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    for name, value in {"BLOCK": 5, "ASKED": 1, "WORTH": 1}.items():
         monkeypatch.setattr(N, name, value)
     check_near(spark, spark.createDataFrame(near_copies(7, 3, 24), "doc_id long, text string"), 2)
 
 
+def edited_copies(n, edits, seed=3, length=120):
+    """Copies of one text, each with edits of its own: two of them share about (length - 2 * edits) words."""
+    rnd = random.Random(seed)
+    base, rows = [f"w{i}" for i in range(length)], []
+    for i in range(n):
+        w = list(base)
+        for k in rnd.sample(range(length), edits):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_pairs_a_node_do_not_grow_with_a_group(spark, monkeypatch):
+    """Neighbours just under the threshold: the rows that rounds and blocks make, for each node."""
+    made = {}
+    plain = N.stored
+
+    def counting(df, name):
+        out = plain(df, name)
+        if name in ("asked", "possible", "leaders"):
+            made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "stored", counting)
+    share = {}
+    for n in (300, 2400):
+        made.clear()
+        got = N.near_dedup(spark.createDataFrame(edited_copies(n, 4), "doc_id long, text string"), words=2)
+        assert got.select("component_id").distinct().count() == 1
+        share[n] = sum(made.values()) / n
+    assert share[2400] <= 1.5 * share[300] and made["asked"] <= 12 * 2400
+
+
 def test_sketches_count_agreeing_slots(spark):
     rnd = np.random.default_rng(4)
     h = rnd.random((2, N.SLOTS))
     h[1, :200] = h[0, :200]
-    a, b = (x.tolist() for x in N.sketches(h))
-    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(N._agreeing("a", "b").alias("n")).first()
+    shown = N.sketches(h)
+    row = spark.createDataFrame([tuple(x.tobytes() for x in shown)], "x binary, y binary").select(N._words_of("x").alias("a"), N._words_of("y").alias("b")).select(N._agreeing("a", "b").alias("n")).first()
     assert 200 <= row.n <= 200 + 20
+    i, j = np.array([0]), np.array([1])
+    for least in (row.n, row.n + 1):
+        assert N.possible(np.array([10, 10]), shown.view(np.uint64), i, j, 80, least).tolist() == [least == row.n]
+
+
+def test_sketches_rule_out_less_than_banding_loses():
+    least, p = N.least_agreeing(80), 0.8 + 0.2 / 16
+    draws = np.random.default_rng(1).binomial(N.SLOTS, p, 2_000_000)
+    assert (draws < least).sum() <= 2 and (draws < least + 25).sum() > 0 and N.MISSED < (1 - 0.8**N.ROWS) ** N.BANDS
 
 
 def test_near_deduplicated_keeps_one_of_each(spark):
