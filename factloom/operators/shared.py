@@ -10,14 +10,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _opened: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir (below one of our own only where that is unset). It goes when Python ends."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's folder below spark.checkpoint.dir. It goes when Python ends.
+
+    Where that is unset, a local master gets a temporary folder; on a cluster no folder of one machine would do.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not path:
-        path = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        path = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="factloom-")
     path = f"{path.rstrip('/')}/factloom-{spark.sparkContext.applicationId}"
     if path not in _opened:
         _opened.add(path)
@@ -36,7 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what `written` wrote for these tables. For those that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def global_row_number(df: DataFrame, order: list, name: str = "row_number", total: str | None = None) -> DataFrame:
