@@ -1,16 +1,15 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full shingle sets, union-find.
 
 Documents with the same shingle set are one node. A node's signature has BANDS x ROWS slots; nodes that agree in all slots
-of a band meet in a bucket. What links a bucket's nodes is found in three steps:
-
-1. Chance meetings go: a node stays in a bucket of up to BLOCK nodes only if its sketch (four bits of each slot) and its size
-   leave a partner possible there.
-2. Rounds: in each bucket that holds several components, one node of the component with the smallest root leads, and the
-   others are asked about it; each node takes the few of its leaders that look most alike, is held against them on full
-   sets, and union-find joins what is linked. Nodes of the leading component ask nothing any more: a group of copies costs a
-   few comparisons a node, whatever its size. Rounds end when they find few links.
-3. What is still apart in a bucket is compared whole, in blocks of nodes: a row is a pair of blocks, not of nodes. Sketches
-   rule pairs out first, full sets decide on all others. No cap ends this early.
+of a band meet in a bucket. A bucket of two asks one question. What links the nodes of a larger one is found in two steps:
+
+1. Rounds: in each bucket that holds several components, one node of the component with the smallest root leads, and the
+   others are asked about it; each node takes that of its leaders that looks most alike (by sketches: four bits of each
+   slot), is held against it on full sets, and union-find joins what is linked. Nodes of the leading component ask nothing
+   any more: a group of copies costs a few comparisons a node, whatever its size. Rounds end when they find few links.
+2. What is still apart in a bucket is compared whole, in blocks of nodes: a row is a pair of blocks, not of nodes, and a pair
+   of nodes counts in the first of its buckets only. Sketches rule pairs out first, full sets decide on all others. No cap
+   ends this early.
 """
 
 from __future__ import annotations
@@ -31,8 +30,8 @@ BANDS, ROWS = 45, 6
 SLOTS = BANDS * ROWS
 #: Probability with which a sketch may rule out a pair right at the threshold (less above it): a twelfth of what banding loses.
 MISSED = 1e-7
-#: Leaders that a node is held against in a round; rounds go on while one in so many asking nodes finds a link.
-ASKED, WORTH = 2, 8
+#: Rounds go on while one in so many asking nodes finds a link.
+WORTH = 8
 #: Nodes of a block, and shingles of its sets: what two blocks hold fits any task.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Similarity from which documents are linked, in hundredths.
@@ -250,70 +249,55 @@ def _words_of(sketch: str) -> F.Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs: a written table, by whose size Spark decides whether sets have to move to be found."""
     one = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    needed = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+    two = needed.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     sizes = F.size("sa") + F.size("sb")
     return pairs.join(one, "a").join(two, "b").filter(100 * shared >= percent * (sizes - shared)).select("a", "b")
 
 
-def _partners(percent: int, least: int):
-    """Of small buckets, the nodes with a possible partner there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column("held")
-            first = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
-            nodes, sizes, shown = _unpacked(held.values)
-            keep = np.zeros(len(nodes), bool)
-            counts = np.diff(first)
-            for m in np.unique(counts[counts > 1]).tolist():
-                i, j = np.triu_indices(m, 1)
-                of = first[:-1][counts == m]
-                for lo in range(0, len(of), step := max(1, _STEP // len(i))):
-                    at = of[lo : lo + step, None]
-                    a, b = (at + i).ravel(), (at + j).ravel()
-                    ok = possible(sizes, shown, a, b, percent, least)
-                    keep[a[ok]] = keep[b[ok]] = True
-            keys = np.repeat(batch.column("key").to_numpy(), counts)[keep[first[0] : first[-1]]] if len(nodes) else []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes[keep], pa.int64())], ["key", "node"])
-
-    return run
+def _alike(pairs: DataFrame, about: DataFrame, percent: int, least: int) -> DataFrame:
+    """The pairs (a, b) that can be linked by their sizes and sketches, with the number of slots that agree."""
+    one, two = (about.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), _words_of("shown").alias(f"s{x}")) for x in "ab")
+    like = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.join(one, "a").join(two, "b").filter(like).select("a", "b", _agreeing("sa", "sb").alias("same")).filter(F.col("same") >= least)
 
 
-def _unpacked(held: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes, sizes and sketches of packed nodes."""
-    column = dict(zip(held.type.names, held.flatten(), strict=True)) if hasattr(held.type, "names") else {held.type.field(k).name: c for k, c in enumerate(held.flatten())}
-    raw = b"".join(column["shown"].to_pylist())
-    return column["node"].to_numpy(), column["n"].to_numpy(), np.frombuffer(raw, np.uint64).reshape(len(held), -1)
+def _packed(column: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
 
 def _compared(percent: int, least: int):
-    """Of pairs of blocks: the possible pairs of nodes of different components, as places in a list of the nodes that they take."""
+    """Of pairs of blocks of a bucket: the possible pairs of nodes of different components that meet in no bucket before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 one, two = batch.column("one")[k].values, batch.column("two")[k].values
-                same = two is None or not len(two)
-                na, sa, da = _unpacked(one)
-                star = one.field("star").to_numpy()
-                if same:
-                    i, j = np.triu_indices(len(na), 1)
+                within = not len(two)
+                nodes = one if within else pa.concat_arrays([one, two])
+                if within:
+                    i, j = np.triu_indices(len(one), 1)
                 else:
-                    nb, sb, db = _unpacked(two)
-                    i, j = (x.ravel() for x in np.indices((len(na), len(nb))))
-                    j = j + len(na)
-                    na, sa, da = np.concatenate([na, nb]), np.concatenate([sa, sb]), np.concatenate([da, db])
-                    star = np.concatenate([star, two.field("star").to_numpy()])
+                    i, j = (x.ravel() for x in np.indices((len(one), len(two))))
+                    j = j + len(one)
+                star = nodes.field("star").to_numpy()
                 apart = star[i] != star[j]
                 i, j = i[apart], j[apart]
-                ok = possible(sa, da, i, j, percent, least)
+                ok = possible(nodes.field("n").to_numpy(), _packed(nodes.field("shown").to_pylist(), np.uint64), i, j, percent, least)
                 i, j = i[ok], j[ok]
+                bands = np.stack(nodes.field("bands").to_numpy(zero_copy_only=False))
+                band = int(np.flatnonzero((bands == bands[0]).all(0) & (bands[0] == batch.column("low")[k].as_py()))[0])
+                for b in range(band):
+                    new = bands[i, b] != bands[j, b]
+                    i, j = i[new], j[new]
                 if len(i):
                     taken, at = np.unique(np.concatenate([i, j]), return_inverse=True)
                     pairs = at.reshape(2, -1).astype(np.int16)
-                    yield pa.RecordBatch.from_arrays([pa.array([na[taken]], pa.list_(pa.int64())), pa.array([pairs.tobytes()], pa.binary())], ["nodes", "pairs"])
+                    held = nodes.field("node").to_numpy()[taken]
+                    yield pa.RecordBatch.from_arrays([pa.array([held], pa.list_(pa.int64())), pa.array([pairs.tobytes()], pa.binary())], ["nodes", "pairs"])
 
     return run
 
@@ -326,15 +310,23 @@ def _linked(percent: int):
             for k in range(len(batch)):
                 nodes = batch.column("nodes")[k].values.to_numpy()
                 held = batch.column("held")[k].values
-                at = {n: x for x, n in enumerate(held.field("node").to_pylist())}
-                sets = [held.field("s")[at[n]].values.to_numpy() for n in nodes.tolist()]
+                place = {n: x for x, n in enumerate(held.field("node").to_pylist())}
+                sets = [held.field("s")[place[n]].values.to_numpy() for n in nodes.tolist()]
                 sizes = np.array([len(s) for s in sets])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                values, at = np.unique(np.concatenate(sets), return_inverse=True)
                 found: list[tuple[int, int]] = []
-                pairs = np.frombuffer(batch.column("pairs")[k].as_py(), np.int16).reshape(2, -1)
+                pairs = np.frombuffer(batch.column("pairs")[k].as_py(), np.int16).reshape(2, -1).astype(np.int64)
+                if len(np.unique(pairs[0])) > len(np.unique(pairs[1])):
+                    pairs = pairs[::-1]
+                mine = np.zeros(len(values), bool)
                 for i in np.unique(pairs[0]).tolist():
-                    others = pairs[1][pairs[0] == i].tolist()
-                    shared = np.add.reduceat(np.isin(np.concatenate([sets[j] for j in others]), sets[i]).astype(np.int64), np.cumsum([0, *(sizes[j] for j in others[:-1])]))
-                    found += [(i, j) for j, x in zip(others, shared.tolist(), strict=True) if 100 * x >= percent * (sizes[i] + sizes[j] - x)]
+                    others = pairs[1][pairs[0] == i]
+                    mine[at[ends[i] : ends[i + 1]]] = True
+                    shared = np.array([np.count_nonzero(mine[at[ends[j] : ends[j + 1]]]) for j in others.tolist()])
+                    mine[at[ends[i] : ends[i + 1]]] = False
+                    linked = 100 * shared >= percent * (sizes[i] + sizes[others] - shared)
+                    found += [(i, j) for j in others[linked].tolist()]
                 if found:
                     a, b = forest(nodes[[i for i, _ in found]], nodes[[j for _, j in found]])
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -354,40 +346,42 @@ def _unsettled(members: DataFrame, stars: DataFrame) -> DataFrame:
     return stored(named.join(several, "key"), "unsettled")
 
 
-def _round(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataFrame | None, sets: DataFrame, percent: int, least: int, number: int) -> tuple[DataFrame, DataFrame, int, int]:
+def _low(key: F.Column) -> F.Column:
+    """32 bits of a band's key, as an int."""
+    return (key.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
+
+
+def _round(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataFrame, sets: DataFrame, percent: int, least: int, number: int) -> tuple[DataFrame, DataFrame, int, int]:
     """Components, pairs asked about so far, and how many nodes asked and how many links were found."""
     named = _unsettled(members, stars)
     lead = named.groupBy("key").agg(F.min(F.struct("star", F.xxhash64("node", "key", F.lit(number)).alias("h"), "node")).alias("l"))
     lead = stored(lead.select("key", F.col("l.node").alias("leader"), F.col("l.star").alias("leads")), "leaders")
     met = named.join(lead, "key").filter("star <> leads").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    if seen is not None:
-        met = met.join(seen, ["a", "b"], "left_anti")
-    one, two = (about.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), _words_of("_sketch").alias(f"s{x}")) for x in "ab")
-    like = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    alike = met.join(one, "a").join(two, "b").filter(like).select("a", "b", _agreeing("sa", "sb").alias("same")).filter(F.col("same") >= least)
-    best = alike.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "b")), False), 1, ASKED).alias("l"))  # BANDS at most
-    asked = stored(best.select("a", F.explode("l.b").alias("b")), "asked")
+    met = stored(met.join(seen, ["a", "b"], "left_anti"), "met")
+    asked = stored(_alike(met, about, percent, least).groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), "asked")
     links = stored(_verified(asked, sets, percent), "links")
-    n, found = asked.select("a").distinct().count(), links.count()
+    n, found = asked.count(), links.count()
     if found:
         stars = components(stars.select("a", "b").union(links))
-    return stars, asked if seen is None else seen.union(asked), n, found
+    forget(named, lead, met)
+    return stars, seen.union(asked), n, found
 
 
 def _rest_of_links(members: DataFrame, about: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
     """Links between components that rounds left apart: all possible pairs of each bucket, in blocks."""
-    left = _unsettled(members, stars).join(about.select("node", "n", F.col("_sketch").alias("shown")), "node")
-    sizes = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    packed = left.join(sizes, "key").groupBy("key", part.alias("part"), "parts").agg(F.collect_list(F.struct("node", "star", "n", "shown")).alias("held"))  # about BLOCK nodes
-    blocks = stored(packed, "blocks")
+    left = _unsettled(members, stars)
+    told = left.join(about, "node").select("key", F.struct("node", "star", "n", "shown", "bands").alias("x"))
+    sizes = told.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("x.n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("x.node"), F.col("parts")).cast("int")
+    blocks = stored(told.join(stored(sizes, "parts"), "key").groupBy("key", part.alias("part"), "parts").agg(F.collect_list("x").alias("held")), "blocks")  # about BLOCK nodes each
     none = F.array().cast(blocks.schema["held"].dataType)
-    within = blocks.select(F.col("held").alias("one"), none.alias("two"))
+    within = blocks.select(_low(F.col("key")).alias("low"), F.col("held").alias("one"), none.alias("two"))
     large = blocks.filter("parts > 1")
-    between = large.alias("x").join(large.alias("y"), F.expr("x.key = y.key and x.part < y.part")).select(F.col("x.held").alias("one"), F.col("y.held").alias("two"))
+    between = large.alias("x").join(large.alias("y"), F.expr("x.key = y.key and x.part < y.part")).select(_low(F.col("x.key")).alias("low"), F.col("x.held").alias("one"), F.col("y.held").alias("two"))
     found = within.union(between).mapInArrow(lean(_compared(percent, least)), "nodes array<long>, pairs binary")
     found = stored(found.withColumn("at", F.monotonically_increasing_id()), "possible")
-    held = found.select("at", F.explode("nodes").alias("node")).join(sets, "node").groupBy("at").agg(F.collect_list(F.struct("node", "s")).alias("held"))
+    taken = stored(found.select("at", F.explode("nodes").alias("node")), "taken")
+    held = taken.join(sets, "node").groupBy("at").agg(F.collect_list(F.struct("node", "s")).alias("held"))
     return found.join(held, "at").select("nodes", "pairs", "held").mapInArrow(lean(_linked(percent)), "a long, b long")
 
 
@@ -408,24 +402,24 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
         signed = stored(ids.mapInArrow(lean(_signed(words, least)), schema), "signed")
     classes = signed.filter("_set is not null and _id is not null").groupBy("_set").agg(F.min("_id").alias("least"), F.max("n_shingles").alias("n"), F.first(F.struct("_bands", "_sketch")).alias("_f"))
     classes = stored(classes.select("_set", "least", "n", "_f.*").withColumn("node", F.monotonically_increasing_id()), "classes")
-    members = classes.select("node", F.explode("_bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1")
-    met = stored(members.join(buckets, "key"), "met")
-    large = met.filter(F.col("nodes") > BLOCK).select("key", "node")
-    packed = met.filter(F.col("nodes") <= BLOCK).join(classes.select("node", "n", F.col("_sketch").alias("shown")), "node")
-    packed = packed.groupBy("key").agg(F.collect_list(F.struct("node", "n", "shown")).alias("held"))  # BLOCK at most
-    with small_batches(docs.sparkSession):
-        members = stored(packed.mapInArrow(lean(_partners(percent, possible_from)), "key long, node long").union(large), "members")
-    wanted = members.select("node").distinct().join(classes.select("node", "least", "_set", "n", "_sketch"), "node")
-    wanted = stored(wanted, "wanted")
-    forget(met)
+    spread = classes.select("node", F.explode("_bands").alias("key"))
+    buckets = spread.groupBy("key").agg(F.count("*").alias("nodes"), F.min("node").alias("a"), F.max("node").alias("b")).filter("nodes > 1")
+    buckets = stored(buckets, "buckets")  # by its size Spark decides how to find its members
+    twos = stored(buckets.filter("nodes = 2").select("a", "b").distinct(), "twos")
+    members = stored(spread.join(buckets.filter("nodes > 2").select("key"), "key"), "members")
+    nodes = stored(twos.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct(), "nodes")
+    wanted = stored(classes.select("node", "least", "_set", "n", F.col("_sketch").alias("shown"), F.transform("_bands", _low).alias("bands")).join(nodes, "node"), "wanted")
+    forget(buckets, nodes)
     texts = ids.select("_id", "_text").join(wanted.select(F.col("least").alias("_id")).distinct(), "_id", "left_semi").select("_text")
-    sets = texts.mapInArrow(lean(_whole_sets(words)), "_set binary, s array<long>").join(wanted.select("_set", "node"), "_set").select("node", "s").dropDuplicates(["node"])
     with small_batches(docs.sparkSession):
-        sets = stored(sets, "sets")
-
-    about = wanted.select("node", "n", "_sketch")
-    stars, seen, number, asked, found = docs.sparkSession.createDataFrame([], "a long, b long"), None, 0, 1, 1
+        sets = stored(texts.mapInArrow(lean(_whole_sets(words)), "_set binary, s array<long>").join(wanted.select("_set", "node"), "_set").select("node", "s"), "sets")
+    if sets.count() > wanted.count():  # of repeated rows
+        sets = stored(sets.dropDuplicates(["node"]), "sets")
+
+    about = wanted.select("node", "n", "shown", "bands")
+    seen = stored(_alike(twos, about, percent, possible_from).select("a", "b"), "asked")
+    stars = components(_verified(seen, sets, percent))
+    number, asked, found = 0, 1, 1
     while found and WORTH * found >= asked:
         stars, seen, asked, found = _round(members, about, stars, seen, sets, percent, possible_from, number)
         number += 1
@@ -433,6 +427,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
         with small_batches(docs.sparkSession):
             links = stored(_rest_of_links(members, about, stars, sets, percent, possible_from), "links")
         stars = components(stars.select("a", "b").union(links))
+    forget(members, sets, wanted)
     starred = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), "b").distinct())
     smallest = starred.join(classes.select(F.col("node").alias("a"), "least"), "a").groupBy("b").agg(F.min("least").alias("component_id"))
     of = classes.select("node", "_set", "least").join(starred.join(smallest, "b").select(F.col("a").alias("node"), "component_id"), "node", "left").select(F.col("_set").alias("_of"), F.coalesce("component_id", "least").alias("component_id"))
