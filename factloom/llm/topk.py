@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from factloom.llm.common import stored, table
+from factloom.llm.common import small_batches, stored, table
+from factloom.operators.shared import global_row_number
 
 BLOCK, CHUNK, GROUP, PACK = 128, 4096, 1024, 4096
 #: Sums below this are exact in doubles, and leave room for a rank beside them.
@@ -29,48 +29,37 @@ def _valid(scale: float, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, cells, rows = [], [], []
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                if i is None or v is None or None in v:
-                    continue
-                x = np.zeros(width)
-                x[: len(v)] = v
-                if not np.isfinite(x).all():
-                    continue
-                with np.errstate(over="ignore"):
-                    x = np.floor(scale * x)
-                if not np.isfinite(x).all():
-                    continue
-                seen = (x / max(np.abs(x).max(), 1.0)) @ turn
-                cell = int(np.abs(seen).argmax())
-                ids.append(i)
-                cells.append(2 * cell + int(seen[cell] > 0))
-                rows.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.int32()), pa.array(rows, pa.binary())], ["id", "cell", "x"])
+            x, keep = np.zeros((len(batch), width)), np.zeros(len(batch), bool)
+            for k in range(len(batch)):
+                v = batch.column("v")[k].values
+                if v is not None and not v.null_count and batch.column("id")[k].is_valid:
+                    x[k, : len(v)], keep[k] = v.to_numpy(), True
+            with np.errstate(over="ignore", invalid="ignore"):
+                x = np.floor(scale * x)
+                keep &= np.isfinite(x).all(1)
+            x = x[keep]
+            seen = (x / np.maximum(np.abs(x).max(1, initial=1.0), 1.0)[:, None]) @ turn
+            cell = np.abs(seen).argmax(1) if len(x) else np.zeros(0, np.int64)
+            cells = 2 * cell + (seen[np.arange(len(x)), cell] > 0)
+            ids = batch.column("id").filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cells, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "cell", "x"])
 
     return run
 
 
-def _pack(width: int, most: int):
-    def packed(ids: list[int], rows: list[bytes], at: int) -> pa.RecordBatch:
-        x = np.frombuffer(b"".join(rows)).reshape(-1, width)
-        cuts = np.arange(0, len(x), BLOCK)
-        high, low = np.maximum.reduceat(x, cuts), np.minimum.reduceat(x, cuts)
-        small = x.astype(np.float32) if np.abs(x).max(initial=0) < 1 << 24 else x
-        values = [at, np.array(ids, np.int64).tobytes(), small.tobytes(), high.tobytes(), low.tobytes(), high.max(0).tobytes(), low.min(0).tobytes(), len(x)]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), *[pa.binary()] * 6, pa.int32()], strict=True)], ["chunk", "ids", "rows", "high", "low", "top", "bottom", "size"])
-
+def _pack(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, rows = TaskContext.get().partitionId() << 32, [], []
         for batch in batches:
-            for i, x in zip(batch.column("id").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                ids.append(i)
-                rows.append(x)
-                if len(ids) == most:
-                    yield packed(ids, rows, at)
-                    at, ids, rows = at + 1, [], []
-        if ids:
-            yield packed(ids, rows, at)
+            for k in range(len(batch)):
+                held = batch.column("held")[k].values
+                order = np.argsort(held.field("at").to_numpy(), kind="stable")
+                ids = held.field("id").to_numpy()[order]
+                x = np.frombuffer(b"".join(held.field("x").to_pylist())).reshape(-1, width)[order]
+                cuts = np.arange(0, len(x), BLOCK)
+                high, low = np.maximum.reduceat(x, cuts), np.minimum.reduceat(x, cuts)
+                small = x.astype(np.float32) if np.abs(x).max(initial=0) < 1 << 24 else x
+                values = [batch.column("chunk")[k].as_py(), ids.tobytes(), small.tobytes(), high.tobytes(), low.tobytes(), high.max(0).tobytes(), low.min(0).tobytes(), len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), *[pa.binary()] * 6, pa.int32()], strict=True)], ["chunk", "ids", "rows", "high", "low", "top", "bottom", "size"])
 
     return run
 
@@ -131,10 +120,16 @@ def _scored_large(qids, q, ids, x, k):
             yield i, j, -s
 
 
+def _row(batch: pa.RecordBatch, k: int) -> dict:
+    """One row of a batch; the others stay as they are."""
+    return {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+
+
 def _score_cells(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(len(batch)):
+                r = _row(batch, at)
                 qids, ids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 high, low = (np.frombuffer(r[c]).reshape(-1, width) for c in ("high", "low"))
                 least = np.full(len(qids), -np.inf)
@@ -148,35 +143,16 @@ def _score_cells(width: int, k: int):
     return run
 
 
-def _packs(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, top, bottom, at = [], [], [], TaskContext.get().partitionId() << 32
-
-        def made():
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(top)], pa.binary()), pa.array([b"".join(bottom)], pa.binary())], ["pack", "chunks", "top", "bottom"])
-
-        for batch in batches:
-            for i, t, b in zip(*(batch.column(c).to_pylist() for c in ("chunk", "top", "bottom")), strict=True):
-                ids.append(i)
-                top.append(t)
-                bottom.append(b)
-                if len(ids) == PACK:
-                    yield made()
-                    ids, top, bottom, at = [], [], [], at + 1
-        if ids:
-            yield made()
-
-    return run
-
-
 def _cells(width: int, seeds: bool):
     """Chunks of a pack to be scored for a group: each query's best (seeds), or all whose bound reaches a query's k-th score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                qids, chunks = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["chunks"], np.int64)
-                top, bottom = (np.frombuffer(r[c]).reshape(-1, width) for c in ("top", "bottom"))
+            for at in range(len(batch)):
+                r = _row(batch, at)
+                qids = np.frombuffer(r["qids"], np.int64)
+                chunks = np.array([c["chunk"] for c in r["held"]], np.int64)
+                top, bottom = (np.frombuffer(b"".join(c[x] for c in r["held"])).reshape(-1, width) for x in ("top", "bottom"))
                 with np.errstate(all="ignore"):
                     bounds = _bounds(_matrix(r["q"], len(qids), width), top, bottom)
                 bounds[~np.isfinite(bounds)] = np.inf
@@ -201,37 +177,45 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int, vec_id: str = "vec_id"
     """
     spark = vectors.sparkSession
     plain = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    n, width = plain.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    width = max(1, width)
+    width = max(1, plain.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])
 
     def packed(rows: DataFrame, most: int) -> DataFrame:
+        """Chunks of `most` rows, numbered from 0, however the rows are dealt over partitions."""
         cells = rows.select("id", "v").mapInArrow(_valid(scale, width), "id long, cell int, x binary")
-        parts = max(1, n // (4 * most), min(n // 1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        dealt = cells.repartitionByRange(min(parts, 100_000), "cell", "id").sortWithinPartitions("cell", "id")
-        return stored(dealt.mapInArrow(_pack(width, most), _PACKED), "packed")
-
-    chunks = packed(plain, CHUNK)
-    asked = plain.filter("is_query").groupBy("id").agg(F.min("v").alias("v"))
-    groups = packed(asked, GROUP).select(F.col("chunk").alias("grp"), F.col("ids").alias("qids"), F.col("rows").alias("q"))
-    packs = stored(chunks.select("chunk", "top", "bottom").coalesce(max(1, n // (CHUNK * PACK))).mapInArrow(_packs(width), "pack long, chunks binary, top binary, bottom binary"), "packs")
-    numbers = [r.pack for r in packs.select("pack").collect()]  # one for each PACK x CHUNK vectors
+        numbered = global_row_number(cells, ["cell", "id"], "at")
+        chunk = F.floor((F.col("at") - 1) / most).alias("chunk")
+        held = numbered.groupBy(chunk).agg(F.collect_list(F.struct("at", "id", "x")).alias("held"))  # `most` rows
+        return stored(held.mapInArrow(_pack(width), _PACKED), "packed")
+
+    with small_batches(spark):
+        chunks = packed(plain, CHUNK)
+        asked = plain.filter("is_query").groupBy("id").agg(F.min("v").alias("v"))
+        groups = packed(asked, GROUP).select(F.col("chunk").alias("grp"), F.col("ids").alias("qids"), F.col("rows").alias("q"))
+        # what is known of PACK chunks, side by side
+        packs = stored(chunks.groupBy(F.floor(F.col("chunk") / PACK).alias("pack")).agg(F.collect_list(F.struct("chunk", "top", "bottom")).alias("held")), "packs")
+    last = packs.agg(F.max("pack")).first()[0]
     no_least = F.lit(None).cast("array<struct<query_id: long, least: double>>").alias("least")
 
     def cells(some: DataFrame, seeds: bool) -> DataFrame:
-        met = some.withColumn("pack", F.explode(F.array(*[F.lit(p) for p in numbers]).cast("array<long>"))).join(packs, "pack")
+        """Every group of queries meets every pack: a row for GROUP queries and PACK x CHUNK vectors."""
+        met = some.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(last or 0)).cast("array<long>"))).join(packs, "pack")
         return met.mapInArrow(_cells(width, seeds), "grp long, chunk long")
 
     def scores(which: DataFrame, some: DataFrame) -> DataFrame:
         met = which.join(some, "grp").join(chunks.select("chunk", "ids", "rows", "high", "low"), "chunk")
-        return stored(met.mapInArrow(_score_cells(width, k), "grp long, query_id long, vec_id long, score long"), "scores")
+        with small_batches(spark):
+            return stored(met.mapInArrow(_score_cells(width, k), "grp long, query_id long, vec_id long, score long"), "scores")
 
-    first = stored(cells(groups.withColumn("least", no_least), True), "seeds")
+    with small_batches(spark):
+        first = stored(cells(groups.withColumn("least", no_least), True), "seeds")
     found = scores(first, groups.withColumn("least", no_least))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k)
     least = kth.groupBy("grp").agg(F.collect_list(F.struct("query_id", F.col("score").cast("double").alias("least"))).alias("least"))  # GROUP at most
     bounded = stored(groups.join(least, "grp", "left"), "groups")
-    found = found.union(scores(cells(bounded, False).join(first, ["grp", "chunk"], "left_anti"), bounded))
+    with small_batches(spark):
+        reached = stored(cells(bounded, False), "reached")
+    found = found.union(scores(reached.join(first, ["grp", "chunk"], "left_anti"), bounded))
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
