@@ -116,10 +116,38 @@ def test_unigram_paths_are_shortest():
 
     for _ in range(300):
         text = m.normalise("".join(rnd.choice("ab c") for _ in range(rnd.randint(1, 12))))
-        ids = m._path(text)
+        ids = m.path(text)
         assert abs(sum(12.2 if i == 0 else -scores[i] for i in ids) - best(text)) < 1e-9
 
 
+def test_users_pieces_go_first_and_squeezed_spaces():
+    pieces = ["<unk>", "▁", "a", "b", "ab", "bab", "▁a"]
+    m = P.Transducer(P.Compiled(tuple(pieces), (0.0, -2.0, -1.0, -1.0, -1.5, 0.0, -1.0), (2, 1, 1, 1, 1, 4, 1), True, True, True))
+    assert m.normalise("  a   b ") == "▁a▁b" and m.normalise("   ") == "" and m.encode("abab") == [6, 5]
+    assert m.decode(m.encode("  a  b")) == "a b"
+
+
+def test_byte_pairs_on_the_whole_equal_merging(machines):
+    mine, _ = machines
+    rnd = random.Random(6)
+    for _ in range(300):
+        text = mine.normalise("".join(rnd.choice(["th", "e ", "an", "in", "s", ",", "er", " ", "on", "1", "é", "the", "ing"]) for _ in range(rnd.randint(1, 14))))
+        assert [mine.model.pieces[i] for i in mine.path(text)] == mine._merge(text)
+    whole = [i for i in mine.ids.values() if mine._edges(i)]
+    for _ in range(3000):
+        a, b = rnd.choice(whole), rnd.choice(whole)
+        x, y = mine.model.pieces[a], mine.model.pieces[b]
+        assert mine._stay_apart(a, b) == (mine._merge(x + y) == [x, y])
+
+
+def test_segments_cut_where_no_piece_crosses(machines):
+    mine, _ = machines
+    pairs = {(a, b) for p in mine.ids for a, b in zip(p, p[1:], strict=False)}
+    for text in ("▁the▁², end.\n▁▁x=1;▁日本語のテスト!?▁naïve…", "▁" * 5, "\n\n"):
+        parts = mine.segments.findall(text)
+        assert "".join(parts) == text and not any((a[-1], b[0]) in pairs for a, b in zip(parts, parts[1:], strict=False))
+
+
 # --- token counts
 
 
