@@ -12,15 +12,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.operators import lookup as L
+from factloom.plans.config import SelectionRules, interactive_callees, wrapper_rules
 from factloom.plans.index import build, git_head, status
-from factloom.plans.progress import BuildProgress, LookupProgress
+from factloom.plans.progress import BuildProgress, LookupProgress, TextProgress
 from factloom.plans.records import reference_json, site_json, symbol_json
 from factloom.sources.store import Store
 from factloom.sources.topology import TopologyError, resolve
 
 OK, ANALYSIS, USAGE, TOPOLOGY = 0, 1, 2, 3
-#: The callees of the preset for interactive elements.
-INTERACTIVE = ("ActionButton", "IconButton", "TextButton", "OutlinedButton", "FloatingActionButton", "IconToggleButton", "Checkbox", "Switch", "RadioButton", "Slider")
 
 
 class NotIndexed(Exception):
@@ -50,12 +49,14 @@ def _parser() -> argparse.ArgumentParser:
         if name == "index":
             p.add_argument("--applications", default="")
             p.add_argument("--progress-format", default="text", choices=("text", "jsonl"))
+            p.add_argument("--wrapper-rules", help="JSON file of wrappers around selectable content; none there: no rules")
     p = command("query", "application")
     p.add_argument("--preset")
     p.add_argument("--file")
     p.add_argument("--line", type=int)
     p.add_argument("--column", type=int)
     p.add_argument("--session-id")
+    p.add_argument("--preset-config", help="JSON file of the callees of the preset for interactive elements")
     p.add_argument("--format", default="jsonl")
     for name, required, optional in (("find-symbol", ("name",), ("kind", "language")), ("find-references", ("symbol",), ()), ("resolve-resource", ("type", "name"), ())):
         p = command(name, *required)
@@ -66,23 +67,22 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
-def _index(spark: SparkSession, a: argparse.Namespace, out: Callable[[str], None], **bazel) -> int:
-    jsonl = a.progress_format == "jsonl"
-    progress, root = BuildProgress(out if jsonl else lambda _: None), Path(a.project)
+def _index(spark: SparkSession, a: argparse.Namespace, out: Callable[[str], None], err: Callable[[str], None], **bazel) -> int:
+    progress, root = BuildProgress(out) if a.progress_format == "jsonl" else TextProgress(err), Path(a.project)
     progress.discovery_started()
     try:
         sources = resolve(root, a.build_system, a.bazel_target, a.gradle_module, a.include_deps, **bazel)
         if not sources.files:
             raise TopologyError(f"no sources found for {sources.scope}")
         progress.discovery_completed(len(sources.files))
-        build(spark, root, git_head(root), sources, a.applications.split(","), progress=progress)
+        build(spark, root, git_head(root), sources, a.applications.split(","), progress=progress, rules=SelectionRules(wrappers=wrapper_rules(a.wrapper_rules)))
     except TopologyError as e:
         progress.failed(TOPOLOGY, str(e))
-        print(e, file=sys.stderr)
+        err(str(e))
         return TOPOLOGY
     except Exception as e:
         progress.failed(ANALYSIS, str(e).splitlines()[0] if str(e) else type(e).__name__)
-        print(e, file=sys.stderr)
+        err(str(e))
         return ANALYSIS
     return OK
 
@@ -104,7 +104,7 @@ def _status(spark: SparkSession, a: argparse.Namespace, out: Callable[[str], Non
 
 def _opened(spark: SparkSession, project: str) -> Store:
     root = Path(project)
-    store = Store(spark, root, git_head(root))
+    store = Store(spark, root, git_head(root), read_only=True)
     if store.manifest() is None:
         raise NotIndexed(f"no index for {root}; run index first")
     return store
@@ -122,7 +122,7 @@ def _query(spark: SparkSession, a: argparse.Namespace, out: Callable[[str], None
         raise ValueError(f"unknown application: {a.application}")
     store = _opened(spark, a.project)
     held, sites = store.manifest(), store.table("sites", a.session_id)
-    rows = L.point(sites, a.file, a.line, a.column) if point else L.preset(sites, a.preset, INTERACTIVE)
+    rows = L.point(sites, a.file, a.line, a.column) if point else L.preset(sites, a.preset, interactive_callees(a.preset_config))
     for r in site_json(rows, held.topology, held.scope).toLocalIterator():
         out(r.json)
     return OK
@@ -164,7 +164,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out:
     a = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("factloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "index":
-        return _index(spark, a, out, **bazel)
+        return _index(spark, a, out, err, **bazel)
     if a.command == "status":
         return _status(spark, a, out, **bazel)
     if a.command == "query":

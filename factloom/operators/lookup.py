@@ -65,10 +65,10 @@ def scope_columns(topology: Column, scope: Column) -> tuple[Column, Column]:
     return F.when(~gradle, scope), F.when(gradle, scope)
 
 
-def fresh(manifest: DataFrame, criteria: DataFrame) -> Column:
-    """Whether a manifest answers criteria (columns of both, aliased m and c): scope and applications may come in any order."""
-    same = [F.col(f"m.{x}").eqNullSafe(F.col(f"c.{x}")) for x in ("commit", "indexer_version", "scope", "sources_content_hash")]
-    out = F.sort_array("m.applications") == F.sort_array("c.applications")
-    for x in same:
-        out = out & x
+def fresh(commit: str, indexer_version: str, scope: str, sources_content_hash: str, applications: Sequence[str]) -> Column:
+    """Whether a manifest (columns of these names) answers the criteria; applications may come in any order."""
+    wanted = {"commit": commit, "indexer_version": indexer_version, "scope": scope, "sources_content_hash": sources_content_hash}
+    out = F.sort_array("applications") == F.array(*[F.lit(a) for a in sorted(applications)]).cast("array<string>")
+    for name, value in wanted.items():
+        out = out & F.col(name).eqNullSafe(F.lit(value))
     return out

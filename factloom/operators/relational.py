@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.operators.shared import written
 
+#: Ids that may be literals of a filter.
+FEW = 1000
+#: Rows of a graph that one task may hold, and steps that a round takes in a larger one.
+ONE_TASK, HOPS = 1_000_000, 4
+
 
 def last_write_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of rows with the same key, that with the greatest order. An aggregate: combined before the shuffle, no window."""
@@ -58,7 +64,14 @@ def expand_aliases(symbols: DataFrame, wanted: str, fqn: str = "fqn", aliases: s
 
 
 def overlapping(rows: DataFrame, ids: DataFrame, candidates: Column, keys: Sequence[str]) -> DataFrame:
-    """Rows with a candidate among ids, each once. Candidates are exploded so that an equi-join finds them; keys identify a row."""
+    """Rows with a candidate among ids, each once; keys identify a row.
+
+    Up to FEW ids (one symbol's names, say) are literals of a filter: one scan, no shuffle. More are joined: candidates are
+    exploded so that an equi-join finds them.
+    """
+    few = [r.id for r in ids.limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        return rows.filter(F.arrays_overlap(candidates, F.array(*[F.lit(i) for i in few]).cast("array<string>")))
     named = rows.select(*keys, F.explode(F.array_distinct(candidates)).alias("id"))
     hits = named.join(ids, "id", "left_semi").select(*keys).distinct()
     return rows.join(hits, list(keys), "left_semi")
@@ -92,11 +105,19 @@ def increasing_only(rows: DataFrame, by: Sequence[str], order: Sequence[str], va
 def containments(inner: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     """inner x the spans of the same `by` that contain it strictly: columns a_*; distance 1 is the innermost.
 
-    inner and spans: begin and end (numbers). `by` is an equality key, so that this is a hash join with a residual range.
+    inner and spans: begin, end (numbers) and depth (from 1); spans of one `by` nest, none overlaps another in part. Of each
+    depth above its own, a row asks for the last span that began before it: one window, whose rows are the spans and the
+    pairs that come out, not all pairs of a `by`.
     """
-    outer = spans.select(F.col(by), *[F.col(c).alias(f"a_{c}") for c in spans.columns if c != by])
-    met = inner.join(outer, by).filter((F.col("a_begin") < F.col("begin")) & (F.col("end") < F.col("a_end")))
-    return met.withColumn("distance", F.row_number().over(Window.partitionBy(by, "begin").orderBy(F.desc("a_begin"))))
+    held = [c for c in spans.columns if c != by]
+    deep = inner.filter("depth > 1")  # a sequence from 1 to 0 would count down
+    asks = deep.select(by, F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("_level"), F.col("begin").alias("_at"), F.struct(*inner.columns).alias("_inner"))
+    opens = spans.select(by, F.col("depth").alias("_level"), F.col("begin").alias("_at"), F.struct(*held).alias("_span"))
+    before = Window.partitionBy(by, "_level").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    met = asks.unionByName(opens, allowMissingColumns=True).withColumn("_around", F.last("_span", ignorenulls=True).over(before))
+    met = met.filter(F.col("_inner").isNotNull() & (F.col("_inner.end") < F.col("_around.end")))
+    out = met.select(*[F.col(f"_inner.{c}").alias(c) for c in inner.columns], *[F.col(f"_around.{c}").alias(f"a_{c}") for c in held])
+    return out.withColumn("distance", F.row_number().over(Window.partitionBy(by, "begin").orderBy(F.desc("a_begin"))))
 
 
 def tag_spans(pages: DataFrame, page: str, html: str, tags: Sequence[str]) -> DataFrame:
@@ -130,17 +151,48 @@ def exclusion(ancestors: DataFrame, keys: Sequence[str], disables: Column, conta
     return found.select(*keys, F.transform("_c", lambda x: x["a_name"]).alias("containers"), F.size("_c").alias("container_count"), excluded.alias("excluded"))
 
 
-def closure(roots: DataFrame, edges: DataFrame, included: DataFrame | None = None, node: str = "node") -> DataFrame:
+def _reached(node: str):
+    """Breadth first over a graph that one task holds: rows without dst are roots."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches])
+        first = rows.loc[rows["dst"].isna(), "src"]
+        arcs = rows.loc[~rows["dst"].isna()].groupby("src")["dst"].agg(list).to_dict()
+        seen, stack = set(first), list(first)
+        while stack:
+            for there in arcs.get(stack.pop(), ()):
+                if there not in seen:
+                    seen.add(there)
+                    stack.append(there)
+        yield pd.DataFrame({node: pd.Series(list(seen), dtype=rows["src"].dtype)})
+
+    return run
+
+
+def closure(roots: DataFrame, edges: DataFrame, included: DataFrame | None = None, node: str = "node", one_task: int = ONE_TASK) -> DataFrame:
     """All nodes reachable from roots (these too) over edges (src, dst); only nodes in included are followed, but for roots.
 
-    Breadth first, safe on cycles: a node enters a frontier once. Each frontier is written, so that lineage stays short.
+    Safe on cycles; null nodes take no part. Up to one_task rows of edges and roots are walked by one task. Larger graphs go
+    breadth first: a round takes HOPS steps in one plan and writes what it has found anew, and what has been seen is
+    written together every HOPS rounds, so that neither plans nor the number of tables grow with the depth. Both give the same.
     """
     if included is not None:
         edges = edges.join(included.select(F.col(node).alias("dst")), "dst", "left_semi")
-    edges = written(edges.select("src", "dst").distinct(), "edges")
-    seen = frontier = written(roots.select(node).distinct(), "roots")
+    edges = written(edges.select("src", "dst").dropna().distinct(), "edges")
+    seen = written(roots.select(node).dropna().distinct(), "roots")
+    if edges.count() + seen.count() <= one_task:
+        kind = seen.schema[node].dataType
+        rows = seen.select(F.col(node).alias("src"), F.lit(None).cast(kind).alias("dst")).union(edges.select(F.col("src").cast(kind), F.col("dst").cast(kind)))
+        text = rows.select(F.col("src").cast("string"), F.col("dst").cast("string"))  # nulls and long numbers come through whole
+        return text.coalesce(1).mapInPandas(_reached(node), f"`{node}` string").select(F.col(node).cast(kind).alias(node))
+    frontier, pieces = seen, 1
     while frontier.take(1):
-        step = frontier.join(edges, F.col(node) == F.col("src")).select(F.col("dst").alias(node)).distinct()
-        frontier = written(step.join(seen, node, "left_anti"), "frontier")
-        seen = seen.union(frontier)
+        step = reached = frontier
+        for _ in range(HOPS):
+            step = step.join(edges, F.col(node) == F.col("src")).select(F.col("dst").alias(node)).distinct()
+            reached = reached.union(step)
+        frontier = written(reached.distinct().join(seen, node, "left_anti"), "frontier")
+        seen, pieces = seen.union(frontier), pieces + 1
+        if pieces == HOPS:
+            seen, pieces = written(seen, "seen"), 1
     return seen

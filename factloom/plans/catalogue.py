@@ -234,9 +234,7 @@ def scope_projection(t):
 @query("""SELECT p_partkey, p_brand = 'Brand#1' AND p_type = 'PROMO' AND list_sort([p_name, p_brand]) = list_sort(['red widget', 'Brand#1']) AS fresh FROM part""")
 def manifest_fresh(t):
     m = t("part").select("p_partkey", F.lit("c").alias("commit"), F.lit("v").alias("indexer_version"), F.col("p_brand").alias("scope"), F.col("p_type").alias("sources_content_hash"), F.array("p_name", "p_brand").alias("applications"))
-    wanted = m.sparkSession.createDataFrame([("c", "v", "Brand#1", "PROMO", ["red widget", "Brand#1"])], "commit string, indexer_version string, scope string, sources_content_hash string, applications array<string>")
-    # one row of criteria, whose size is fixed
-    return m.alias("m").join(F.broadcast(wanted.alias("c")), F.lit(True)).select("p_partkey", L.fresh(m, wanted).alias("fresh"))
+    return m.select("p_partkey", L.fresh("c", "v", "Brand#1", "PROMO", ["red widget", "Brand#1"]).alias("fresh"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'LARGE') THEN 'array' WHEN p_type = 'SMALL' THEN p_name ELSE p_type END AS kind FROM part""")

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions.text import content_hash, extension
 from factloom.operators.relational import change_counters, changes, delete_keys
-from factloom.operators.shared import written
+from factloom.operators.shared import global_row_number, written
+from factloom.plans.config import SelectionRules
 from factloom.plans.extract import extract, resolve_references, sites_of, symbols_of
-from factloom.plans.progress import BuildProgress
-from factloom.plans.registry import REGISTRY
+from factloom.plans.progress import BuildProgress, NoProgress, told
+from factloom.plans.registry import REGISTRY, Producer, Registry
 from factloom.sources.store import Manifest, Store
 from factloom.sources.topology import SourceSet, read_files
 
@@ -49,10 +50,17 @@ def hashes_of(files: DataFrame) -> DataFrame:
     return files.select(F.col("relative_file").alias("relative_path"), content_hash(F.col("content")).alias("content_hash"))
 
 
-def build(spark: SparkSession, workspace: str | Path, commit: str, sources: SourceSet, applications: Sequence[str] = (), files: DataFrame | None = None, progress: BuildProgress | None = None, indexer_version: str = INDEXER_VERSION) -> str:
-    """`fresh` if the manifest answers for these sources already, else `indexed`. files: relative_file and content, read if not given."""
-    progress = progress or BuildProgress(lambda _: None)
-    store, applications = Store(spark, workspace, commit), [a.strip() for a in applications if a.strip()]
+def build(spark: SparkSession, workspace: str | Path, commit: str, sources: SourceSet, applications: Sequence[str] = (), files: DataFrame | None = None, progress: BuildProgress | None = None, indexer_version: str = INDEXER_VERSION, rules: SelectionRules | None = None, registry: Registry = REGISTRY) -> str:
+    """`fresh` if the manifest answers for these sources already, else `indexed`. files: relative_file and content, read if not given.
+
+    One build of an index runs at a time: the store's lock is held from the look at the manifest on.
+    """
+    store = Store(spark, workspace, commit)
+    with store.locked():
+        return _build(spark, workspace, commit, sources, store, [a.strip() for a in applications if a.strip()], files, progress or NoProgress(), indexer_version, rules, registry)
+
+
+def _build(spark: SparkSession, workspace, commit: str, sources: SourceSet, store: Store, applications: list[str], files: DataFrame | None, progress: BuildProgress, indexer_version: str, rules: SelectionRules | None, registry: Registry) -> str:
     files = files if files is not None else read_files(spark, Path(workspace), sources.files)
     hashes = written(hashes_of(files), "hashes")
     digest, before = combined_hash(hashes), store.manifest()
@@ -69,14 +77,18 @@ def build(spark: SparkSession, workspace: str | Path, commit: str, sources: Sour
     affected = diff.filter("change <> 'unchanged'").select(F.col("relative_path").alias("relative_file"))
     changed = diff.filter("change = 'changed'").select(F.col("relative_path").alias("relative_file"), F.lit(True).alias("is_changed"))
     wants_sites = "selection-context" in applications
+    every = F.lit(False)
+    for p in registry.for_applications(applications, rules):
+        every = every | F.col("relative_file").endswith(p.suffix) if p.every_file else every
     totals = {r.kind: r["count"] for r in changed.groupBy(extension(F.col("relative_file")).alias("kind")).count().collect() if r.kind in ("java", "kt", "xml")}
-    marked = files.join(changed, "relative_file", "left").select("relative_file", "content", F.coalesce("is_changed", F.lit(False)).alias("changed"), (F.lit(wants_sites) & F.col("relative_file").endswith(".kt")).alias("sites"))
-    phases = REGISTRY.for_applications(applications)
+    marked = files.join(changed, "relative_file", "left").select("relative_file", "content", F.coalesce("is_changed", F.lit(False)).alias("changed"), every.alias("sites"))
+    phases = registry.for_applications(applications, rules)
+    facts = written(extract(marked.filter("changed or sites"), phases), "facts")
     for p in phases:
-        progress.phase_started(p.id, p.progress_total(totals))
-    facts = written(extract(marked.filter("changed or sites")), "facts")
-    for p in phases:
-        progress.phase_completed(p.id, p.progress_total(totals))
+        total = p.progress_total(totals)
+        progress.phase_started(p.id, total, p.display_name)
+        _report_files(progress, p, changed, total)
+        progress.phase_completed(p.id, total)
     kept_symbols, kept_refs = store.table("symbols"), store.table("refs")
     if full:
         kept_symbols, kept_refs = kept_symbols.limit(0), kept_refs.limit(0)
@@ -95,6 +107,16 @@ def build(spark: SparkSession, workspace: str | Path, commit: str, sources: Sour
     return "indexed"
 
 
+def _report_files(progress: BuildProgress, producer: Producer, changed: DataFrame, total: int) -> None:
+    """The files that progress tells of, in the order of their paths: few enough to bring here one by one."""
+    if not total or not progress.wants_files:
+        return
+    read = changed.filter(F.col("relative_file").endswith(producer.suffix)).select("relative_file")
+    numbered = global_row_number(read, ["relative_file"])
+    for r in numbered.filter(told(F.col("row_number"), total)).orderBy("row_number").toLocalIterator():
+        progress.file(producer.id, r.row_number, total, r.relative_file)
+
+
 def status(spark: SparkSession, workspace: Path, commit: str, discover) -> tuple[dict, int]:
     """The report, and the exit code. discover: a source set for a manifest."""
     store = Store(spark, workspace, commit)

@@ -22,7 +22,16 @@ def workspace_path(path: str) -> str:
     return clean
 
 
+def told(number, total: int):
+    """Whether a file's number is one that progress tells of: the first, each EVERY-th, the last. For numbers and for columns."""
+    return (number == 1) | (number == total) | (number % EVERY == 0)
+
+
 class BuildProgress:
+    """JSON lines."""
+
+    wants_files = True
+
     def __init__(self, emit: Callable[[str], None]):
         self.emit, self.counters, self.done = emit, {}, False
 
@@ -35,11 +44,11 @@ class BuildProgress:
     def discovery_completed(self, files: int) -> None:
         self._event("discovery_completed", "discovery", files, files)
 
-    def phase_started(self, phase: str, total: int | None) -> None:
+    def phase_started(self, phase: str, total: int | None, name: str = "") -> None:
         self._event("phase_started", phase, 0, total)
 
     def file(self, phase: str, completed: int, total: int, path: str) -> None:
-        if 1 <= completed <= total and (completed in (1, total) or completed % EVERY == 0):
+        if 1 <= completed <= total and told(completed, total):
             self._event("progress", phase, completed, total, workspace_path(path))
 
     def phase_completed(self, phase: str, total: int | None) -> None:
@@ -63,6 +72,32 @@ class BuildProgress:
             self._event("failed", exitCode=code, message=message)
 
 
+class NoProgress(BuildProgress):
+    wants_files = False
+
+    def __init__(self):
+        super().__init__(lambda _: None)
+
+
+class TextProgress(BuildProgress):
+    """The same for people: a line for each phase, file told of, and outcome."""
+
+    def _event(self, event: str, *_, **__) -> None:
+        pass
+
+    def phase_started(self, phase: str, total: int | None, name: str = "") -> None:
+        self.emit(name or phase)
+
+    def file(self, phase: str, completed: int, total: int, path: str) -> None:
+        if 1 <= completed <= total and told(completed, total):
+            self.emit(f"[{completed}/{total}] {workspace_path(path)}")
+
+    def completed(self, outcome: str) -> None:
+        if not self.done and outcome == "fresh":
+            self.emit("index is fresh, nothing to do")
+        self.done = True
+
+
 class LookupProgress:
     def __init__(self, emit: Callable[[str], None], command: str):
         self.emit, self.command = emit, command

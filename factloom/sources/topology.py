@@ -305,8 +305,16 @@ def read_files(spark: SparkSession, root: Path, files: tuple[str, ...], override
     wanted = [f for f in files if f not in dict(held)]
     out = spark.createDataFrame(held, schema)
     if wanted:
-        read = spark.read.text([str(Path(root).resolve() / f) for f in wanted], wholetext=True)
+        # by folder, so that Spark lists in parallel; what is not asked for goes by the join
+        folders = sorted({str((Path(root).resolve() / f).parent) for f in wanted})
+        read = spark.read.option("pathGlobFilter", "*.{" + ",".join(INDEXABLE) + "}").text([_no_glob(f) for f in folders], wholetext=True)
         path = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
         cut = len(base.removeprefix("file://")) + 1
-        out = out.union(read.select(F.substring(F.regexp_replace(path, "^file:/*", "/"), F.lit(cut), F.length(path)).alias("relative_file"), F.col("value").alias("content")))
+        named = read.select(F.substring(F.regexp_replace(path, "^file:/*", "/"), F.lit(cut), F.length(path)).alias("relative_file"), F.col("value").alias("content"))
+        out = out.union(named.join(spark.createDataFrame([(f,) for f in wanted], "relative_file string"), "relative_file", "left_semi"))
     return out
+
+
+def _no_glob(path: str) -> str:
+    """A path for Spark to take as it is, although its characters have a meaning in globs."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)

@@ -19,6 +19,11 @@ CHANGES = "seq long, relative_file string, content string"
 
 def apply_changes(store: Store, changes: DataFrame, commit: str, scope: str, applications: list[str]) -> None:
     """changes: seq, relative_file, content (null: the file is gone). Of several changes to a file the last holds."""
+    with store.locked():
+        _apply(store, changes, commit, scope, applications)
+
+
+def _apply(store: Store, changes: DataFrame, commit: str, scope: str, applications: list[str]) -> None:
     last = written(last_write_wins(changes.select("seq", "relative_file", "content"), ["relative_file"], ["seq"]), "changes")
     wants_sites = "selection-context" in applications
     files = last.filter("content is not null").select("relative_file", "content", F.lit(True).alias("changed"), (F.lit(wants_sites) & F.col("relative_file").endswith(".kt")).alias("sites"))

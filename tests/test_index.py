@@ -6,11 +6,12 @@ import subprocess
 import pytest
 
 from factloom import cli
+from factloom.plans.config import WRAPPERS, SelectionRules, interactive_callees, wrapper_rules
 from factloom.plans.index import build, git_head
-from factloom.plans.registry import REGISTRY, Registry
 from factloom.plans.progress import BuildProgress, workspace_path
+from factloom.plans.registry import REGISTRY, Producer, Registry
 from factloom.sources import topology as T
-from factloom.sources.store import Manifest, Store
+from factloom.sources.store import Manifest, Store, StoreLocked
 
 
 def put(root, files):
@@ -125,8 +126,78 @@ def test_registry():
     ids = [p.id for p in REGISTRY.for_applications(["selection-context", "unknown"])]
     assert ids == ["java-source", "kotlin-psi-symbols", "xml-resources", "selection-context", "file-hash"]
     assert "selection-context" not in [p.id for p in REGISTRY.for_applications([])] and REGISTRY.get("none") is None
-    with pytest.raises(ValueError):
-        Registry(REGISTRY.all()).register(REGISTRY.get("file-hash"))
+    mine = Registry(REGISTRY.all())
+    mine.register(Producer("java-source", "sym", "Another", ".java"))
+    assert mine.get("java-source").display_name == "Another" and len(mine.all()) == len(REGISTRY.all())
+
+
+def test_a_registered_producer_runs(spark, tmp_path):
+    def todos(source, out):
+        for n, line in enumerate(source.text.split("\n"), 1):
+            if "TODO" in line:
+                out.symbol((n, line.index("TODO") + 1), f"todo.{n}", line.strip(), "todo", ns="todo")
+
+    registry = Registry([*REGISTRY.all(), Producer("todos", "todo", "Todos", ".kt", read=todos)])
+    lines = []
+    build(spark, tmp_path, "c", T.SourceSet(("a.kt",), "gradle-parse", False, ":"), files=kotlin(spark, {"a.kt": "fun a() {}\n// TODO later\n"}), progress=BuildProgress(lines.append), registry=registry)
+    rows = {(r._key, r.kind) for r in Store(spark, tmp_path, "c").table("symbols").collect()}
+    assert ("todo:todo.2:a.kt:2:4", "todo") in rows and len(rows) == 2
+    assert "todos" in [json.loads(x).get("phase") for x in lines]
+
+
+def test_rules_go_through_a_build(spark, tmp_path):
+    rules = SelectionRules(frozenset(("Pick",)), frozenset(("Drop",)), "Shown", (("Wrap", "on", "1"),))
+    text = "@Shown\nfun f() {\n Pick { Tap() }\n Wrap(on = 1) { Tap() }\n SelectionContainer { Tap() }\n Pick { Drop { Tap() } }\n}\n@Composable\nfun g() { Pick { Tap() } }\n"
+    build(spark, tmp_path, "c", T.SourceSet(("a.kt",), "gradle-parse", False, ":"), ["selection-context"], kotlin(spark, {"a.kt": text}), rules=rules)
+    rows = Store(spark, tmp_path, "c").table("sites").filter("callee = 'Tap'").collect()
+    assert {(r.line, r.selection_container_count, r.excluded_by_disable_selection) for r in rows} == {(3, 1, False), (4, 2, False), (5, 0, False), (6, 1, True)}
+
+
+def test_configuration_files(tmp_path):
+    assert wrapper_rules(None) == WRAPPERS and wrapper_rules(tmp_path / "none.json") == ()
+    put(tmp_path, {"w.json": '[{"callee": "A", "providesSelectionWhenNamedArgument": "b", "providesSelectionWhenValue": "c"}]', "p.json": '{"callees": ["X", "Y"]}'})
+    assert wrapper_rules(tmp_path / "w.json") == (("A", "b", "c"),) and interactive_callees(tmp_path / "p.json") == ("X", "Y")
+    with pytest.raises(ValueError, match="none.json"):
+        interactive_callees(tmp_path / "none.json")
+
+
+def test_store_lock_read_only_and_get(spark, tmp_path):
+    where = tmp_path.as_uri()  # a URI as well as a path
+    build(spark, where, "c", T.SourceSet(("a.kt",), "gradle-parse", False, ":"), files=kotlin(spark, {"a.kt": "fun a() {}\n"}))
+    store = Store(spark, where, "c")
+    assert store.manifest().scope == ":" and store.get("symbols", "sym:a:a.kt:1:1").name == "a" and store.get("symbols", "sym:b") is None
+    with store.locked():
+        with pytest.raises(StoreLocked, match="lock"), Store(spark, where, "c", lock_millis=300).locked():
+            pass
+        store.commit({n: store.table(n) for n in ("symbols", "refs", "sites", "file_hashes")}, store.manifest())
+    with Store(spark, where, "c", lock_millis=0).locked():
+        pass
+    reader = Store(spark, where, "c", read_only=True)
+    assert reader.table("symbols").count() == 1
+    for write in (lambda: reader.commit({}, store.manifest()), lambda: reader.write_session("s", {}), lambda: reader.fork_session("s", "t")):
+        with pytest.raises(PermissionError):
+            write()
+
+
+def test_names_that_look_like_globs(spark, tmp_path):
+    odd = {"a/[id].kt": "1", "a/{x}.kt": "2", "b*/q?.java": "3", "b*/un asked+%.xml": "4", "c/skip.kt": "5", "c/x.txt": "6"}
+    put(tmp_path, odd)
+    wanted = tuple(f for f in odd if f.startswith(("a", "b")))
+    assert {r.relative_file: r.content for r in T.read_files(spark, tmp_path, wanted).collect()} == {f: odd[f] for f in wanted}
+
+
+def test_text_progress(spark, workspace):
+    out, err = [], []
+    assert cli.main(["index", "--project", str(workspace), "--gradle-module", ":ui"], spark, out.append, err.append) == 0
+    assert not out and "JavaSourceProducer" in err and "[1/1] ui/src/main/java/Panel.java" in err
+
+
+def test_files_are_told_of(spark, tmp_path):
+    files = {f"f{i:02}.kt": f"fun f{i}() {{}}\n" for i in range(30)}
+    lines = []
+    build(spark, tmp_path, "c", T.SourceSet(tuple(files), "gradle-parse", False, ":"), files=kotlin(spark, files), progress=BuildProgress(lines.append))
+    events = [e for e in map(json.loads, lines) if e["event"] == "progress" and e["phase"] == "kotlin-psi-symbols"]
+    assert [(e["phaseCompleted"], e["phaseTotal"], e["currentFile"]) for e in events] == [(1, 30, "f00.kt"), (25, 30, "f24.kt"), (30, 30, "f29.kt")]
 
 
 def test_manifest():

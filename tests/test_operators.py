@@ -21,6 +21,31 @@ def test_closure_on_a_cycle(spark):
     assert sorted(r.node for r in R.closure(roots, edges, included).collect()) == [1, 2, 3]
 
 
+def test_closure_in_rounds_equals_the_walk(spark):
+    chain = [(i, i + 1) for i in range(60)] + [(70, 71), (60, 3), (None, 5), (5, None), (20, 90)]
+    edges = spark.createDataFrame(chain, "src long, dst long")
+    roots = spark.createDataFrame([(0,), (None,), (10**12,)], "node long")
+    want = [*range(61), 90, 10**12]
+    for one_task in (0, R.ONE_TASK):
+        assert sorted(r.node for r in R.closure(roots, edges, one_task=one_task).collect()) == want
+    assert R.closure(roots.limit(0), edges).count() == 0
+
+
+def test_containments(spark):
+    spans = [("p", "a", 1, 10, 1), ("p", "b", 2, 5, 2), ("p", "c", 3, 4, 3), ("p", "d", 6, 9, 2), ("p", "e", 7, 8, 3), ("p", "f", 11, 14, 1), ("p", "g", 12, 13, 2), ("q", "h", 1, 2, 1)]
+    df = spark.createDataFrame(spans, "page string, name string, begin int, end int, depth int")
+    got = {(r.name, r.distance, r.a_name) for r in R.containments(df, df, "page").collect()}
+    assert got == {("b", 1, "a"), ("c", 1, "b"), ("c", 2, "a"), ("d", 1, "a"), ("e", 1, "d"), ("e", 2, "a"), ("g", 1, "f")}
+
+
+def test_overlapping_by_literals_equals_the_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, []), (4, None), (5, ["b", "b"])], "k int, c array<string>")
+    ids = spark.createDataFrame([("b",), ("c",), ("z",)], "id string")
+    for few in (1000, 0):
+        monkeypatch.setattr(R, "FEW", few)
+        assert sorted(r.k for r in R.overlapping(rows, ids, F.col("c"), ["k"]).collect()) == [1, 2, 5]
+
+
 def test_overlay_without_delta_is_base(spark):
     base = spark.createDataFrame([("a", 1), ("b", 2)], "_key string, v int")
     assert sorted(R.overlay(base, base.limit(0), ["_key"]).collect()) == sorted(base.collect())
