@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import stored
+from factloom.llm.common import lean, stored
 
 
 #: Links (of 16 bytes) that one task may hold.
@@ -33,19 +33,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[inner], root[inner]
 
 
-def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, roots, size = [], [], 0
+
+    def joined() -> pa.RecordBatch:
+        a, b = forest(np.concatenate(held), np.concatenate(roots))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
     for x in batches:
-        held.append(x["a"].to_numpy())
-        roots.append(x["b"].to_numpy())
+        held.append(x.column("a").to_numpy())
+        roots.append(x.column("b").to_numpy())
         size += len(x)
         if size > 2_000_000:
-            a, b = forest(np.concatenate(held), np.concatenate(roots))
-            yield pd.DataFrame({"a": a, "b": b})
+            yield joined()
             held, roots, size = [], [], 0
     if held:
-        a, b = forest(np.concatenate(held), np.concatenate(roots))
-        yield pd.DataFrame({"a": a, "b": b})
+        yield joined()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -71,9 +74,9 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     def told(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)))).first())
 
-    edges = stored(links.mapInPandas(_local, "a long, b long").distinct(), "forest")
+    edges = stored(links.mapInArrow(lean(_local), "a long, b long").distinct(), "forest")
     if edges.count() <= one_task:
-        return stored(edges.coalesce(1).mapInPandas(_local, "a long, b long"), "forest")
+        return stored(edges.coalesce(1).mapInArrow(lean(_local), "a long, b long"), "forest")
     before = told(edges)
     while before[0]:
         edges = stored(_small_star(_large_star(edges)), "stars")

@@ -410,9 +410,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
     nodes = stored(twos.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct(), "nodes")
     wanted = stored(classes.select("node", "least", "_set", "n", F.col("_sketch").alias("shown"), F.transform("_bands", _low).alias("bands")).join(nodes, "node"), "wanted")
     forget(buckets, nodes)
-    texts = ids.select("_id", "_text").join(wanted.select(F.col("least").alias("_id")).distinct(), "_id", "left_semi").select("_text")
+    # written by itself, so that Spark sees how small it is: texts then need not move
+    named = stored(wanted.select("least", "_set", "node"), "named")
+    texts = ids.select("_id", "_text").join(named.select(F.col("least").alias("_id")), "_id", "left_semi").select("_text")
     with small_batches(docs.sparkSession):
-        sets = stored(texts.mapInArrow(lean(_whole_sets(words)), "_set binary, s array<long>").join(wanted.select("_set", "node"), "_set").select("node", "s"), "sets")
+        sets = stored(texts.mapInArrow(lean(_whole_sets(words)), "_set binary, s array<long>").join(named.select("_set", "node"), "_set").select("node", "s"), "sets")
     if sets.count() > wanted.count():  # of repeated rows
         sets = stored(sets.dropDuplicates(["node"]), "sets")
 
