@@ -1,4 +1,10 @@
-"""From raw documents to encoded training text, each stage on all that the one before it kept."""
+"""From raw documents to encoded training text, each stage on all that the one before it kept.
+
+A null text counts as an empty one throughout. All empty and blank texts are copies of each other, of which one stays; it has
+no words, so that mixing takes it no more often than its source's rate says, and no pieces. Documents with a null id are
+scored like others, are the last choice among exact copies, are linked with nothing as near copies, and are drawn by an empty
+id. Of repeated rows one stays. Columns that the table has besides are carried up to the encoding. Empty tables give an empty one.
+"""
 
 from __future__ import annotations
 

@@ -51,14 +51,14 @@ def drop_spread_lines(docs: DataFrame, site: str = "source", text: str = "text",
     """
     spread = spread_lines(docs, site, text, least_sites)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"n_lines", "n_removed"} and c != text])
-    key, gone, marked = fresh(docs, "_key"), fresh(docs, "_gone"), fresh(docs, "_lines")
+    key, of, gone, marked = (fresh(docs, x) for x in ("_key", "_of", "_gone", "_lines"))
     column = F.col(f"`{text}`")
     of_text = F.struct(F.xxhash64(column).alias("h"), F.crc32(column.cast("binary")).alias("c"), F.length(column).alias("n"))
     # equal texts lose equal lines: one list for each distinct text that loses any
     found = docs.filter(column.isNotNull()).select(of_text.alias("_key"), F.explode(F.array_distinct(F.transform(_lines(docs, text), _hash))).alias("line")).filter("line is not null")
     lists = found.join(spread.select("line"), "line", "left_semi").distinct().groupBy("_key").agg(F.collect_list("line").alias("_gone"))
-    lists = stored(lists.select(F.col("_key").alias("k"), F.col("_gone").alias(gone)), "lists")
-    joined = docs.withColumn(key, of_text).join(lists, F.col(key) == F.col("k"), "left")
+    lists = stored(lists.select(F.col("_key").alias(of), F.col("_gone").alias(gone)), "lists")
+    joined = docs.withColumn(key, of_text).join(lists, F.col(key) == F.col(of), "left")
     lines = F.coalesce(_lines(docs, text), F.array().cast("array<string>"))
     none = F.array().cast("array<long>")
     kept = F.when(F.col(gone).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.coalesce(F.col(gone), none), _hash(x)), F.lit(False))))

@@ -94,7 +94,7 @@ def _rows(buckets: np.ndarray):
             out = []
             for first, end, text, bucket in features(batch.column("_text"), wanted):
                 out += np.split(np.searchsorted(buckets, bucket), np.searchsorted(text, np.arange(1, end - first)))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.int32()))], ["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("toxic"), pa.array(out, pa.list_(pa.int32()))], ["_h", "toxic", "x"])
 
     return run
 
@@ -146,7 +146,7 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", doc_id: s
     Without a row of either label the model has no features: it gives every text the share of toxic rows.
     """
     known = labelled.filter(F.col(f"`{toxic}`").isin(0, 1)).select(F.xxhash64(F.col(f"`{doc_id}`")).alias("_h"), F.col(f"`{toxic}`").cast("int").alias("toxic"), F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_text"))
-    train = stored(known.orderBy("_h", "_text").limit(train_rows).select("toxic", "_text").repartition(24), "train")
+    train = stored(known.orderBy("_h", "_text").limit(train_rows).repartition(24), "train")
     n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     clean, bad = n.get(0, 0), n.get(1, 0)
     if not clean or not bad:
@@ -156,7 +156,8 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", doc_id: s
     best = counts.filter(F.col("clean") + F.col("toxic") >= LEAST_DOCS).withColumn("r", ratio).orderBy(F.desc(F.abs("r") * F.sqrt(F.col("clean") + F.col("toxic"))), "bucket").limit(FEATURES)
     kept = sorted((x.bucket, x.r) for x in best.collect())
     buckets, r = np.array([k[0] for k in kept], np.int64), np.array([k[1] for k in kept])
-    rows = train.mapInArrow(lean(_rows(buckets)), "toxic int, x array<int>").collect()
+    # in one order whatever the tasks did, so that sums round alike and reruns give the same model
+    rows = sorted(train.mapInArrow(lean(_rows(buckets)), "_h long, toxic int, x array<int>").collect())
     weights, bias = _regress([np.array(x.x, np.int64) for x in rows], np.array([x.toxic for x in rows], float), r)
     return Model(buckets, weights, bias)
 

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm.common import table, text_blocks
+from factloom.llm.common import fresh, table, text_blocks
 
 #: Rule (host and path prefix) and verdict. A rule fits its host and all subdomains.
 HOST_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -120,10 +120,11 @@ def filter_urls(pages: DataFrame, url: str = "url", host_rules: Sequence[tuple[s
     after = F.when(column(url).contains("://"), F.regexp_extract(column(url), r"^(?s)(?:.*?)://(.*)$", 1)).otherwise("")
     host = F.translate(F.regexp_extract(after, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
-    rest = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict"}]
+    rest = [column(c) for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict"}]
+    verdict = fresh(pages, "_verdict")
     judged = F.pandas_udf(judge, "rule string, verdict string")
-    row = pages.select(*[column(c) for c in rest], host.alias("host"), path.alias("path"))
-    return row.withColumn("_v_", judged(F.concat(F.lit("."), "host", "path"))).select(*[column(c) for c in rest], "host", "path", "_v_.rule", "_v_.verdict")
+    row = pages.select(*rest, host.alias("host"), path.alias("path"))
+    return row.withColumn(verdict, judged(F.concat(F.lit("."), "host", "path"))).select(*rest, "host", "path", f"{verdict}.rule", f"{verdict}.verdict")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Toxicity, SentencePiece, token counts, search, sharding, mixing and URL filters."""
 
+import hashlib
+import math
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -53,6 +56,79 @@ def test_ngrams_stay_within_texts():
     assert seen(["abc def", "été", ""]) == alone and not alone[2]
 
 
+def plain_grams(text):
+    """Character n-grams of a text with a space before and after it, white space as spaces."""
+    padded = " " + "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text) + " "
+    return {padded[i : i + n] for n in X.ORDERS for i in range(len(padded) - n + 1)} if text else set()
+
+
+def test_toxicity_equals_plain_python(spark):
+    """Fifty texts: counts and ratios by n-gram, the loss at its least, and scores, all without the operator's arrays."""
+    rnd = random.Random(11)
+    rows = [(i, sentence(rnd, 12) + (" vile MORON" if i % 3 == 0 else " fine day") + (" été" if i % 5 == 0 else ""), int(i % 3 == 0)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = X.fit(docs)
+    grams = [plain_grams(t.lower()) for _, t, _ in rows]
+    bucket = {g: int(b) for g in set().union(*grams) for b in [gram_bucket(g)]}
+    seen = [{bucket[g] for g in gs} for gs in grams]
+    label = [y for _, _, y in rows]
+    bad, clean = sum(label), len(label) - sum(label)
+    ratio = {}
+    for b in set().union(*seen):
+        t, c = sum(b in s for s, y in zip(seen, label, strict=True) if y), sum(b in s for s, y in zip(seen, label, strict=True) if not y)
+        if t + c >= X.LEAST_DOCS:
+            r = math.log((t + X.SMOOTH) / (bad + 2 * X.SMOOTH)) - math.log((c + X.SMOOTH) / (clean + 2 * X.SMOOTH))
+            ratio[b] = (r, abs(r) * math.sqrt(t + c))
+    least = sorted((v for _, v in ratio.values()), reverse=True)[: X.FEATURES][-1]
+    assert {b for b, (_, v) in ratio.items() if v > least + 1e-12} <= set(model.buckets.tolist()) <= {b for b, (_, v) in ratio.items() if v >= least - 1e-12}
+    # the weights are r times w, where w has the least ridge loss: no small step lowers it
+    w = {b: float(x) / ratio[b][0] for b, x in zip(model.buckets.tolist(), model.weights, strict=True) if ratio[b][0]}
+
+    def loss(w, bias):
+        total = X.RIDGE / 2 * sum(x * x for x in w.values())
+        for s, y in zip(seen, label, strict=True):
+            z = bias + sum(w[b] * ratio[b][0] for b in s if b in w)
+            total += math.log1p(math.exp(-abs(z))) + max(z, 0) - y * z
+        return total
+
+    here = loss(w, model.bias)
+    for b in rnd.sample(sorted(w), 12):
+        for step in (-0.02, 0.02):
+            assert loss(w | {b: w[b] + step}, model.bias) > here - 1e-4
+    assert min(loss(w, model.bias + 0.05), loss(w, model.bias - 0.05)) > here - 1e-4
+    for r in X.score(docs, model).collect():
+        z = model.bias + sum(w[b] * ratio[b][0] for b in seen[r.doc_id] if b in w)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.5)
+
+
+def gram_bucket(gram):
+    """The bucket of an n-gram: by the operator's own hash, of a text that is nothing else."""
+    chars = np.frombuffer(gram.encode("utf-32-le"), np.uint32)
+    with np.errstate(over="ignore"):
+        mixed = (chars + np.uint32(1)) * np.uint32(0x9E3779B1)
+        mixed ^= mixed >> np.uint32(15)
+        h = np.zeros(1, np.uint32)
+        for c in mixed:
+            h = (h ^ c) * X._PRIME
+            h ^= h >> np.uint32(13)
+        return ((h * np.uint32(0x85EBCA6B)) + np.uint32(len(gram) * 0x27D4EB2F & 0xFFFFFFFF))[0] >> np.uint32(32 - X.BITS)
+
+
+def test_held_out_labels_change_no_score(spark, tmp_path):
+    rnd = random.Random(12)
+    docs = [(i, sentence(rnd, 20) + (" moron" if i % 4 == 0 else "")) for i in range(120)]
+    scores = []
+    for flip in (False, True):
+        where = tmp_path / str(flip)
+        spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{where}/documents.parquet")
+        labels = [(i, int(i % 4 == 0) ^ int(flip and zlib.crc32(str(i).encode()) % 5 == 0)) for i, _ in docs]
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{where}/labels.parquet")
+        got = X.op1_toxicity(spark, str(where)).collect()
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+        scores.append({r.doc_id: r.score for r in got})
+    assert scores[0] == scores[1] and len(set(scores[0].values())) > 10
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
@@ -266,19 +342,65 @@ def test_shards_are_even_and_groups_whole(spark):
     assert S.shard(plain, 8).groupBy("text_crc32").agg(F.count_distinct("shard").alias("n")).filter("n > 1").count() == 0
 
 
-def test_a_hot_text_is_dealt(spark):
-    hot = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("own text "), "id")).alias("text"))
-    rows = S.shard(hot, 8).groupBy("shard").agg(F.sum("size").alias("n")).collect()
-    mean = sum(r.n for r in rows) / 8
-    assert len(rows) == 8 and max(r.n for r in rows) <= 1.05 * mean
+def test_a_hot_text_is_dealt_and_others_in_its_bin_stay_whole(spark):
+    """Four bins only, so that many texts share the hot one's."""
+    text = F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("own text "), (F.col("id") / 4).cast("int")))
+    rows = S.shard(spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text")), 8, bits=2, room=0.02).collect()
+    loads, places = [0] * 8, {}
+    for r in rows:
+        loads[r.shard] += r.size
+        places.setdefault(r.text_crc32, set()).add(r.shard)
+    assert max(loads) <= 1.05 * sum(loads) / 8
+    whole, dealt = sorted(map(len, places.values()))[-2:]
+    assert whole == 1 and dealt > 2 and len(places) == 1001
+
+
+def ring_walk(units, shards, nodes, room, bits):
+    """The same law, spelled out: units by falling load step clockwise over the points of all virtual nodes."""
+    ring = sorted((int.from_bytes(hashlib.sha256(f"shard {s} node {v}".encode()).digest()[:6], "big"), s) for s in range(shards) for v in range(nodes))
+    most = math.ceil(sum(x for _, _, x in units) * (1 + room) / shards)
+    loads, out = [0] * shards, {}
+    for b, p, x in sorted(units, key=lambda u: (-u[2], u[0], u[1])):
+        start = next((k for k, (place, _) in enumerate(ring) if place >= b << (48 - bits)), 0)
+        walk = [ring[(start + k) % len(ring)][1] for k in range(len(ring))]
+        s = next((s for s in walk if loads[s] + x <= most), min(range(shards), key=lambda s: loads[s]))
+        loads[s] += x
+        out[b, p] = s
+    return out
+
+
+def test_places_equal_a_plain_ring_walk():
+    rnd = random.Random(4)
+    for shards, room in ((1, 0.0), (3, 0.0), (7, 0.1), (5, 0.01)):
+        units = [(b, p, rnd.choice([1, 5, 40, 400])) for b in range(64) for p in range(rnd.choice([1, 1, 2]))]
+        got = S.place(units, shards, bits=6, nodes=9, room=room)
+        assert {(b, p): s for (b, p, _), s in zip(units, got, strict=True)} == ring_walk(units, shards, 9, room, 6)
+    assert S.place([], 3) == []
+
+
+def test_sharding_equals_brute_force(spark):
+    """Shards of whole documents by plain Python, from the hash that the ring takes."""
+    docs = documents(spark).drop("score")
+    keys = {r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).collect()}
+    bits, rows = 10, docs.collect()
+    sizes = {}
+    for r in rows:
+        b = (keys[r.text] % (1 << 64)) >> (64 - bits)
+        sizes[b] = sizes.get(b, 0) + len((r.text or "").encode()) + 8
+    total, shards = sum(sizes.values()), 2
+    got = S.shard(docs, shards, bits=bits).collect()
+    want = ring_walk([(b, 0, x) for b, x in sizes.items()], shards, S.NODES, S.ROOM, bits) if max(sizes.values()) * 2 * shards <= total else None
+    for r, mine in ((r, {(x.doc_id, x.text_crc32): x for x in got}) for r in rows):
+        x = mine[r.doc_id, zlib.crc32((r.text or "").encode())]
+        assert x.size == len((r.text or "").encode()) + 8 and (want is None or x.shard == want[(keys[r.text] % (1 << 64)) >> (64 - bits), 0])
 
 
-def test_few_units_move_to_a_new_shard():
+def test_few_bytes_move_to_a_new_shard():
     rnd = random.Random(1)
-    units = [(b, 0, rnd.randint(900, 1100)) for b in range(1 << 12)]
-    old, new = (S.place(units, n, bits=12) for n in (10, 11))
-    moved = sum(a != b for a, b in zip(old, new, strict=True))
-    assert moved < 0.5 * len(units)
+    units = [(b, 0, int(1000 * rnd.lognormvariate(0, 0.5))) for b in range(1 << S.RING_BITS)]
+    old, new = (S.place(units, n) for n in (24, 25))
+    moved = sum(u[2] for u, a, b in zip(units, old, new, strict=True) if a != b)
+    assert moved < 1.2 * sum(u[2] for u in units) / 25
 
 
 # --- mixing
