@@ -7,9 +7,10 @@ of a band meet in a bucket. A bucket of two asks one question. What links the no
    others are asked about it; each node takes that of its leaders that looks most alike (by sketches: four bits of each
    slot), is held against it on full sets, and union-find joins what is linked. Nodes of the leading component ask nothing
    any more: a group of copies costs a few comparisons a node, whatever its size. Rounds end when they find few links.
-2. What is still apart in a bucket is compared whole, in blocks of nodes: a row is a pair of blocks, not of nodes, and a pair
-   of nodes counts in the first of its buckets only. Sketches rule pairs out first, full sets decide on all others. No cap
-   ends this early.
+2. What is still apart in a bucket is compared whole, in blocks of nodes: a row is a pair of blocks, not of nodes. The largest
+   component of a bucket is the home of all in it; nodes of one home fill blocks, those that are the home apart from those
+   that are not, and each block of the latter meets all blocks of its home, and blocks of other homes that it shares a bucket
+   with. Sketches rule pairs out first, full sets decide on all others. No cap ends this early.
 """
 
 from __future__ import annotations
@@ -270,17 +271,17 @@ def _packed(column: list[bytes], kind: type) -> np.ndarray:
 
 
 def _compared(percent: int, least: int):
-    """Of pairs of blocks of a bucket: the possible pairs of nodes of different components that meet in no bucket before it."""
+    """Of pairs of blocks: the possible pairs of nodes of different components, as places in a list of the nodes that they take."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 one, two = batch.column("one")[k].values, batch.column("two")[k].values
-                within = not len(two)
-                nodes = one if within else pa.concat_arrays([one, two])
-                if within:
+                if batch.column("same")[k].as_py():
+                    nodes = one
                     i, j = np.triu_indices(len(one), 1)
                 else:
+                    nodes = pa.concat_arrays([one, two])
                     i, j = (x.ravel() for x in np.indices((len(one), len(two))))
                     j = j + len(one)
                 star = nodes.field("star").to_numpy()
@@ -288,11 +289,6 @@ def _compared(percent: int, least: int):
                 i, j = i[apart], j[apart]
                 ok = possible(nodes.field("n").to_numpy(), _packed(nodes.field("shown").to_pylist(), np.uint64), i, j, percent, least)
                 i, j = i[ok], j[ok]
-                bands = np.stack(nodes.field("bands").to_numpy(zero_copy_only=False))
-                band = int(np.flatnonzero((bands == bands[0]).all(0) & (bands[0] == batch.column("low")[k].as_py()))[0])
-                for b in range(band):
-                    new = bands[i, b] != bands[j, b]
-                    i, j = i[new], j[new]
                 if len(i):
                     taken, at = np.unique(np.concatenate([i, j]), return_inverse=True)
                     pairs = at.reshape(2, -1).astype(np.int16)
@@ -346,11 +342,6 @@ def _unsettled(members: DataFrame, stars: DataFrame) -> DataFrame:
     return stored(named.join(several, "key"), "unsettled")
 
 
-def _low(key: F.Column) -> F.Column:
-    """32 bits of a band's key, as an int."""
-    return (key.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
-
-
 def _round(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataFrame, sets: DataFrame, percent: int, least: int, number: int) -> tuple[DataFrame, DataFrame, int, int]:
     """Components, pairs asked about so far, and how many nodes asked and how many links were found."""
     named = _unsettled(members, stars)
@@ -367,24 +358,45 @@ def _round(members: DataFrame, about: DataFrame, stars: DataFrame, seen: DataFra
     return stars, seen.union(asked), n, found
 
 
-def _rest_of_links(members: DataFrame, about: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
-    """Links between components that rounds left apart: all possible pairs of each bucket, in blocks."""
+def _rest_of_links(members: DataFrame, about: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame | None:
+    """Links between components that rounds left apart: all possible pairs of each bucket, in blocks. None if nothing is left."""
     left = _unsettled(members, stars)
-    told = left.join(about, "node").select("key", F.struct("node", "star", "n", "shown", "bands").alias("x"))
-    sizes = told.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("x.n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("x.node"), F.col("parts")).cast("int")
-    blocks = stored(told.join(stored(sizes, "parts"), "key").groupBy("key", part.alias("part"), "parts").agg(F.collect_list("x").alias("held")), "blocks")  # about BLOCK nodes each
-    none = F.array().cast(blocks.schema["held"].dataType)
-    within = blocks.select(_low(F.col("key")).alias("low"), F.col("held").alias("one"), none.alias("two"))
-    large = blocks.filter("parts > 1")
-    between = large.alias("x").join(large.alias("y"), F.expr("x.key = y.key and x.part < y.part")).select(_low(F.col("x.key")).alias("low"), F.col("x.held").alias("one"), F.col("y.held").alias("two"))
-    found = within.union(between).mapInArrow(lean(_compared(percent, least)), "nodes array<long>, pairs binary")
+    if not left.take(1):
+        return None
+    counts = left.groupBy("key", "star").agg(F.count("*").alias("n"))
+    main = stored(counts.groupBy("key").agg(F.max_by("star", F.struct("n", -F.col("star"))).alias("home")), "homes")
+    # a node may have several homes; it lives in one and is met from the others
+    homes = left.join(main, "key")
+    own = F.bool_or(F.col("home") == F.col("star"))
+    lives = stored(homes.groupBy("node", "star").agg(F.when(own, F.col("star")).otherwise(F.min("home")).alias("home"), (~own).alias("guest")), "lives")
+    sized = lives.join(about, "node")
+    parts = sized.groupBy("home", "guest").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    parts = stored(parts, "parts")
+    block = F.struct("home", "guest", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    placed = stored(lives.join(parts, ["home", "guest"]).select("node", "star", block.alias("block")), "placed")
+    filled = placed.join(about, "node").groupBy("block").agg(F.collect_list(F.struct("node", "star", "n", "shown")).alias("held"))  # about BLOCK nodes
+    blocks = stored(filled, "blocks")
+    known = blocks.select("block")
+    guests = known.filter("block.guest")
+    at_home = guests.select(F.col("block").alias("a")).join(known.select(F.col("block").alias("b")), F.expr("a.home = b.home and (not b.guest or a.part <= b.part)"))
+    seen_in = left.join(placed.select("node", "block"), "node").select("key", "block").distinct()
+    seen_in = stored(seen_in.join(_several_homes(seen_in), "key"), "seen_in")
+    abroad = seen_in.select("key", F.col("block").alias("a")).join(seen_in.select("key", F.col("block").alias("b")), "key").filter("a.home < b.home").select("a", "b").distinct()
+    pairs = stored(at_home.union(abroad), "block_pairs")
+    one, two = (blocks.select(F.col("block").alias(x), F.col("held").alias(name)) for x, name in (("a", "one"), ("b", "two")))
+    met = pairs.join(one, "a").join(two, "b").select("one", "two", F.expr("a = b").alias("same"))
+    found = met.mapInArrow(lean(_compared(percent, least)), "nodes array<long>, pairs binary")
     found = stored(found.withColumn("at", F.monotonically_increasing_id()), "possible")
     taken = stored(found.select("at", F.explode("nodes").alias("node")), "taken")
     held = taken.join(sets, "node").groupBy("at").agg(F.collect_list(F.struct("node", "s")).alias("held"))
     return found.join(held, "at").select("nodes", "pairs", "held").mapInArrow(lean(_linked(percent)), "a long, b long")
 
 
+def _several_homes(seen_in: DataFrame) -> DataFrame:
+    """Buckets whose nodes live in several homes."""
+    return seen_in.groupBy("key").agg(F.min("block.home").alias("lo"), F.max("block.home").alias("hi")).filter("lo < hi").select("key")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without the text, with n_shingles, component_id and kept (columns so named are replaced).
 
@@ -408,7 +420,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
     twos = stored(buckets.filter("nodes = 2").select("a", "b").distinct(), "twos")
     members = stored(spread.join(buckets.filter("nodes > 2").select("key"), "key"), "members")
     nodes = stored(twos.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct(), "nodes")
-    wanted = stored(classes.select("node", "least", "_set", "n", F.col("_sketch").alias("shown"), F.transform("_bands", _low).alias("bands")).join(nodes, "node"), "wanted")
+    wanted = stored(classes.select("node", "least", "_set", "n", F.col("_sketch").alias("shown")).join(nodes, "node"), "wanted")
     forget(buckets, nodes)
     # written by itself, so that Spark sees how small it is: texts then need not move
     named = stored(wanted.select("least", "_set", "node"), "named")
@@ -418,17 +430,17 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = PERCENT, doc_id:
     if sets.count() > wanted.count():  # of repeated rows
         sets = stored(sets.dropDuplicates(["node"]), "sets")
 
-    about = wanted.select("node", "n", "shown", "bands")
+    about = wanted.select("node", "n", "shown")
     seen = stored(_alike(twos, about, percent, possible_from).select("a", "b"), "asked")
     stars = components(_verified(seen, sets, percent))
     number, asked, found = 0, 1, 1
     while found and WORTH * found >= asked:
         stars, seen, asked, found = _round(members, about, stars, seen, sets, percent, possible_from, number)
         number += 1
-    if asked:
-        with small_batches(docs.sparkSession):
-            links = stored(_rest_of_links(members, about, stars, sets, percent, possible_from), "links")
-        stars = components(stars.select("a", "b").union(links))
+    with small_batches(docs.sparkSession):
+        links = _rest_of_links(members, about, stars, sets, percent, possible_from)
+        if links is not None:
+            stars = components(stars.select("a", "b").union(stored(links, "links")))
     forget(members, sets, wanted)
     starred = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), "b").distinct())
     smallest = starred.join(classes.select(F.col("node").alias("a"), "least"), "a").groupBy("b").agg(F.min("least").alias("component_id"))
