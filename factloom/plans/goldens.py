@@ -533,20 +533,25 @@ def producers_of_applications(spark):
 # --- builds --------------------------------------------------------------------------------------------------------------
 
 
-def _built(spark: SparkSession, *versions: dict[str, str], lines: list[str] | None = None) -> Store:
-    """A store in the shared folder, after a build of each version of the sources; lines gets what the builds tell."""
-    where = f"{shared_dir(spark)}/golden-{uuid.uuid4().hex}"
-    for files in versions:
-        rows = spark.createDataFrame(list(files.items()), "relative_file string, content string")
-        progress = None if lines is None else BuildProgress(lines.append)
-        build(spark, where, "c", T.SourceSet(tuple(files), "gradle-parse", False, ":"), files=rows, progress=progress)
-    return Store(spark, where, "c")
+_stores: dict[tuple, tuple[str, list[str]]] = {}
+
+
+def _built(spark: SparkSession, *versions: dict[str, str]) -> tuple[Store, list[str]]:
+    """A store in the shared folder after a build of each version of the sources (once an application), and what the builds told."""
+    at = (spark.sparkContext.applicationId, *(tuple(v.items()) for v in versions))
+    if at not in _stores:
+        where, lines = f"{shared_dir(spark)}/golden-{uuid.uuid4().hex}", []
+        for files in versions:
+            rows = spark.createDataFrame(list(files.items()), "relative_file string, content string")
+            build(spark, where, "c", T.SourceSet(tuple(files), "gradle-parse", False, ":"), files=rows, progress=BuildProgress(lines.append))
+        _stores[at] = where, lines
+    where, lines = _stores[at]
+    return Store(spark, where, "c"), lines
 
 
 def _events(spark: SparkSession, fields: str, *versions: dict[str, str]) -> DataFrame:
-    lines: list[str] = []
-    _built(spark, *versions, lines=lines)
-    return spark.createDataFrame([(x,) for x in lines], "line string").select(F.from_json("line", f"event string, {fields}").alias("e")).select("e.*")
+    lines = [(x,) for x in _built(spark, *versions)[1]]
+    return spark.createDataFrame(lines, "line string").select(F.from_json("line", f"event string, {fields}").alias("e")).select("e.*")
 
 
 ONE = {"a.kt": "package p\nfun a() { help() }\n", "b.kt": "package p\nfun help() {}\n", "c.kt": "package p\nfun c() {}\n"}
@@ -555,18 +560,18 @@ TWO = {"a.kt": "package p\nfun a2() { help() }\n", "b.kt": ONE["b.kt"]}
 
 @golden("fqn string, file string", ("p.a2", "a.kt"), ("p.help", "b.kt"))
 def incremental_symbols(spark):
-    return _built(spark, ONE, TWO).table("symbols").select("fqn", F.col("relative_file").alias("file"))
+    return _built(spark, ONE, TWO)[0].table("symbols").select("fqn", F.col("relative_file").alias("file"))
 
 
 @golden("target string, file string", ("p.help", "a.kt"))
 def incremental_references(spark):
     """What did not change is not read again, and is still found."""
-    return _built(spark, ONE, TWO).table("refs").select(F.col("symbol_fqn").alias("target"), F.col("relative_file").alias("file"))
+    return _built(spark, ONE, TWO)[0].table("refs").select(F.col("symbol_fqn").alias("target"), F.col("relative_file").alias("file"))
 
 
 @golden("event string, changed int, unchanged int, removed int", ("changes_detected", 3, 0, 0), ("changes_detected", 1, 1, 1))
 def build_counters(spark):
-    told = _events(spark, "changedFiles int, unchangedFiles int, removedFiles int", ONE, TWO, TWO).filter("event = 'changes_detected'")
+    told = _events(spark, "changedFiles int, unchangedFiles int, removedFiles int", ONE, TWO).filter("event = 'changes_detected'")
     return told.select("event", F.col("changedFiles").alias("changed"), F.col("unchangedFiles").alias("unchanged"), F.col("removedFiles").alias("removed"))
 
 
@@ -579,14 +584,14 @@ def build_file_progress(spark):
 
 @golden("scope string, topology string, files int, version string", (":", "gradle-parse", 2, "1"))
 def manifest_written(spark):
-    held = _built(spark, TWO).manifest()
+    held = _built(spark, ONE, TWO)[0].manifest()
     return spark.createDataFrame([(held.scope, held.topology, held.source_file_count, held.indexer_version)], "scope string, topology string, files int, version string")
 
 
 @golden("name string, kind string", ("a2", "changed"), ("help", "function"))
 def session_overlay(spark):
     """A session's rows go before those of the index; its copy shows the same."""
-    store = _built(spark, TWO)
+    store = _built(spark, ONE, TWO)[0]
     base = store.table("symbols")
     store.write_session("s", {"symbols": base.filter("name = 'a2'").withColumn("kind", F.lit("changed"))})
     store.fork_session("s", "t")
