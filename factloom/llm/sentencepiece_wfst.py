@@ -36,7 +36,7 @@ from factloom.llm.common import lean, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose encoding a worker keeps, the longest that it keeps, and arcs between pieces that it keeps.
-KEPT, KEPT_CHARS, FOLLOWS = 250_000, 40, 300_000
+KEPT, KEPT_CHARS, FOLLOWS = 150_000, 40, 200_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -322,16 +322,31 @@ class Transducer:
 
 
 def worker_machine(model: Compiled) -> Transducer:
-    """The machine of this process: workers serve many tasks, and build it once. One model is held at a time."""
+    """The machine of this process: workers serve many tasks, and build it once. One model is held at a time.
+
+    What a task has found goes with it (`forgotten`), so that other stages find the memory free.
+    """
     holder = sys.modules.setdefault("_factloom_worker", types.ModuleType("_factloom_worker"))
     if getattr(holder, "model", None) != model:
         holder.model, holder.machine = model, Transducer(model)
     return holder.machine
 
 
+def forgotten(machine: Transducer) -> None:
+    machine.kept.clear()
+    machine.kept.odd.clear()
+    machine.follows.clear()
+
+
 def _encoder(model: Compiled):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = worker_machine(model)
+        try:
+            yield from encoded(machine, batches)
+        finally:
+            forgotten(machine)
+
+    def encoded(machine: Transducer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text")
             rest = [n for n in batch.schema.names if n != "_text"]
